@@ -1,0 +1 @@
+"""Analytics of recordings on Spark: annotation tables, gridded signals, labels and their statistics."""
