@@ -223,7 +223,7 @@ def with_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys((*keep, "text")))
     source = K.columns_of(docs, *columns)
-    schema = K.columns_of(docs, *keep).schema.add("score", "double").add("predicted", "int")
+    schema = K.columns_of(docs, *keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.slices(batches):
