@@ -197,25 +197,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """Different toxic and ordinary texts, by hash of doc_id, within the bounds."""
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
+    """Different toxic and ordinary texts, by hash of doc_id, within the bounds.
+
+    Only ids and lengths meet the labels; the texts of the drawn ids, about 1.5 times the bound, follow.
+    """
     rank = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxic")), F.lit(1 << 30))
-    sized = {r[0]: (r[1], r[2]) for r in labelled.groupBy("toxic").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()}
-    out = {}
-    for label in (1, 0):
-        n, b = sized.get(label, (0, 0))
-        share = min(1.0, 1.5 * docs / max(n, 1), 1.5 * size / max(b or 0, 1))
-        drawn = labelled.where((F.col("toxic") == label) & (rank <= F.lit(share * (1 << 30)))).select(rank.alias("rank"), "text").collect() if n else []
-        texts = list(dict.fromkeys(r["text"] for r in sorted(drawn, key=lambda r: (r["rank"], r["text"]))))[:docs]
+    narrow = docs.select("doc_id", F.octet_length("text").alias("b"))
+    known = K.stored(narrow.join(labels, "doc_id").select("doc_id", "toxic", "b", rank.alias("rank")))
+    sized = {r[0]: (r[1], r[2]) for r in known.groupBy("toxic").agg(F.count("*"), F.sum("b")).collect()}
+    share = {label: min(1.0, 1.5 * size / max(n, 1), 1.5 * most / max(b or 0, 1)) for label, (n, b) in sized.items()}
+    picked = [r for label in share for r in known.where((F.col("toxic") == label) & (F.col("rank") <= F.lit(share[label] * (1 << 30)))).select("doc_id", "toxic", "rank").distinct().collect()]
+    out: dict[int, list[str]] = {1: [], 0: []}
+    if picked:
+        ids = docs.sparkSession.createDataFrame(picked, known.select("doc_id", "toxic", "rank").schema)
+        drawn = docs.join(F.broadcast(ids), "doc_id").select("toxic", "rank", "text").collect()  # ids: the bounded sample
+        for r in sorted(drawn, key=lambda r: (r["rank"], r["text"])):
+            out[r["toxic"]].append(r["text"])
+    for label in out:
+        texts = list(dict.fromkeys(out[label]))[:size]
         ends = np.cumsum([len(t) for t in texts])
-        out[label] = [t for t, e in zip(texts, ends, strict=True) if e <= size or e == ends[0]]
+        out[label] = [t for t, e in zip(texts, ends, strict=True) if e <= most or e == ends[0]]
     return out[1], out[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled documents; rows of a null text or label are left out."""
     known = K.columns_of(labels, "doc_id", "toxic").where("toxic IN (0, 1)")
-    return Model(*sample(K.columns_of(docs, "doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")))
+    return Model(*sample(K.columns_of(docs, "doc_id", "text").where("text IS NOT NULL"), known))
 
 
 def with_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
