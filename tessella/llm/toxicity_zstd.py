@@ -34,6 +34,7 @@ WINDOW, GRAM, THRESHOLD = 6, 4, 0.7
 TOXIC_BYTES, ORDINARY_BYTES, SIGNIFICANT = 8192, 32768, 20.0
 #: Every window is compressed after this much of the ordinary dictionary, one match, so that none is stored raw.
 LEAD_BYTES = 96
+TOXIC_SHARE = 0.3
 
 
 def forms(vocab: pa.Array) -> pa.Array:
@@ -66,25 +67,35 @@ def gain(a: float, n: int, b: float, m: int) -> float:
     return 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p)))
 
 
+def traits(words: list[str]) -> set[str]:
+    """The words of a text and their first four and five letters."""
+    return set(words) | {f"{w[:n]}*" for w in words for n in (4, 5) if len(w) > n}
+
+
 def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Words in significantly more toxic than ordinary texts, the most telling first."""
-    a, b = Counter(w for t in toxic for w in set(t)), Counter(w for t in ordinary for w in set(t))
+    """What significantly more toxic than ordinary texts have, the most telling first: words with a space on either side,
+    and beginnings that many such words share, with a space before."""
+    a, b = Counter(x for t in toxic for x in traits(t)), Counter(x for t in ordinary for x in traits(t))
     n, m = len(toxic), len(ordinary)
-    least = max(3, 0.015 * n)
-    found = {w: gain(k, n, b[w], m) for w, k in a.items() if k >= least and len(w) >= GRAM - 1 and k / n >= 8 * (b[w] + 0.5) / (m + 1)}
-    return sorted((w for w, g in found.items() if g >= SIGNIFICANT), key=lambda w: (-found[w], w))
+    least = max(3, 0.01 * n)
+    found = {x: g for x, k in a.items() if k >= least and k / n >= 8 * (b[x] + 0.5) / (m + 1) and (g := gain(k, n, b[x], m)) >= SIGNIFICANT}
+    stems = {x[:-1] for x in found if x[-1] == "*" and b[x] <= 1}
+    own = [w for w in found if w[-1] != "*" and len(w) >= GRAM - 1 and all(a[w] >= 0.8 * a[f"{w[:n]}*"] for n in (4, 5) if w[:n] in stems and len(w) > n)]
+    told = {f" {w} ": found[w] for w in own}
+    for p in sorted(stems, key=len):
+        if not any(f" {p[:4]}" == t for t in told) and not any(w.startswith(p) for w in own):
+            told[f" {p}"] = found[f"{p}*"]
+    return sorted(told, key=lambda t: (-told[t], t))
 
 
 def different(texts: list[str]) -> list[str]:
-    """Texts without near copies of earlier ones: those that share one of two MinHash values with one are left out."""
+    """Texts without near copies of earlier ones: those that share one of two MinHash values of five-word shingles with one are left out."""
     seen: set = set()
     out = []
-    w = K.words(pa.array(texts, pa.large_string()), lower=True)
-    if not len(w.codes):
-        return texts[:1]
-    h = K.hash_values(w.vocab)
-    for t, lo, hi in zip(texts, w.offsets[:-1], w.offsets[1:], strict=True):
-        own = h[w.codes[lo:hi]]
+    data, start, end, offsets = K.shingle_spans(K.words(pa.array(texts, pa.large_string()), lower=True), 5)
+    h = K.xxh64(data, start, end)
+    for t, lo, hi in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        own = h[lo:hi]
         keys = {(k, int(K.mix(own ^ np.uint64(k)).min())) for k in (1, 2)} if len(own) else {(0, 0)}
         if not keys & seen:
             out.append(t)
@@ -103,10 +114,11 @@ class Model:
         bad, good = normal(toxic), normal(ordinary)
         marked = telling(bad, good)
         plain = trained([w for t in good for w in windows(t)], ORDINARY_BYTES)
-        known = set(marked)
-        rest = [(" " + " ".join(r) + " ").encode() for t in bad if (r := [w for w in t if w in known])]
-        spelled = "".join(f" {w} " for w in reversed(marked)).encode()[-TOXIC_BYTES // 2 :]
-        self.toxic = (trained(rest, TOXIC_BYTES // 2) if len(spelled) > TOXIC_BYTES // 4 else b"") + spelled
+        whole, begun = {t[1:-1] for t in marked if t[-1] == " "}, tuple(t[1:] for t in marked if t[-1] != " ")
+        said = lambda w: f" {w} " if w in whole else next((f" {p}" for p in begun if w.startswith(p)), "")
+        rest = [r.encode() for t in bad if (r := "".join(said(w) for w in t))]
+        spelled = "".join(reversed(marked)).encode()[-TOXIC_BYTES // 2 :]
+        self.toxic = (trained(rest, min(TOXIC_BYTES // 2, max(512, len(spelled)))) if rest else b"") + spelled
         self.plain = plain
         self.weights, self.center, self.spread = np.zeros(4), np.zeros(4), np.ones(4)
         x = np.concatenate([self.features(pa.array(toxic, pa.large_string())), self.features(pa.array(ordinary, pa.large_string()))])
@@ -179,10 +191,10 @@ class Model:
         return out
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps, with a small ridge; both labels weigh the same."""
+        """Logistic regression by Newton steps, with a small ridge; toxic texts weigh ``TOXIC_SHARE`` in all."""
         self.center, self.spread = x.mean(0), x.std(0) + 1e-9
         z = np.c_[(x - self.center) / self.spread, np.ones(len(x))]
-        share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+        share = np.where(y == 1, TOXIC_SHARE / max(y.sum(), 1), (1 - TOXIC_SHARE) / max((1 - y).sum(), 1)) * len(y)
         b = np.zeros(z.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
