@@ -82,8 +82,8 @@ def cross_correlation(df: DataFrame, key: str, a: str, b: str, lags: int, time_t
 
 
 def peak_lag(xcorr: DataFrame, key: str) -> DataFrame:
-    """The lag with the largest r, the smallest of equals."""
-    return xcorr.groupBy(key).agg(F.max_by(F.struct("lag", "r"), F.struct("r", -F.col("lag"))).alias("p")).select(key, "p.lag", "p.r")
+    """The lag with the largest r (to nine places), the smallest of equals."""
+    return xcorr.groupBy(key).agg(F.max_by(F.struct("lag", "r"), F.struct(F.round("r", 9), -F.col("lag"))).alias("p")).select(key, "p.lag", "p.r")
 
 
 def event_triggered(events: DataFrame, signal: DataFrame, key: str, before: int, after: int, value: str = "value") -> DataFrame:
@@ -143,7 +143,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, first: str, second: str)
     return s.select(u.alias("u"), F.try_divide(F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5, sd).alias("z"), "n1", "n2")
 
 
-def local_maxima(df: DataFrame, key: str, height: float, distance: int, value: str = "value") -> DataFrame:
+def local_maxima(df: DataFrame, key: str, height: float | Column, distance: int, value: str = "value") -> DataFrame:
     """Peaks of at least ``height``, at least ``distance`` frames apart; the tallest is kept first, later ones of equals.
 
     Candidates are found by lag and lead; only they meet in one group for each key.

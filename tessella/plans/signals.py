@@ -67,7 +67,7 @@ def xcorr(spark, sf):
     return stats.cross_correlation(V.grid(spark, sf), "vid", "m_view", "m_click", 12).select("vid", "lag", r4(F.col("r")).alias("r"))
 
 
-@query("q_peak_lag", "SELECT vid, lag, round(r, 4) + 0.0 AS r FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY r DESC, lag) AS k FROM x) WHERE k = 1", V.GRID_SQL, XCORR_SQL)
+@query("q_peak_lag", "SELECT vid, lag, round(r, 4) + 0.0 AS r FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY round(r, 9) DESC, lag) AS k FROM x) WHERE k = 1", V.GRID_SQL, XCORR_SQL)
 def peak(spark, sf):
     return stats.peak_lag(stats.cross_correlation(V.grid(spark, sf), "vid", "m_view", "m_click", 12), "vid").select("vid", "lag", r4(F.col("r")).alias("r"))
 
@@ -279,7 +279,9 @@ def mwu(spark, sf):
 
 @query("q_find_peaks")
 def peaks(spark, sf):
-    return stats.local_maxima(dsp.uniform(V.grid(spark, sf).select("vid", "frame", "n"), "vid", V.FRAMES, 5, "n"), "vid", 1.5, 6, "smooth")
+    smooth = dsp.uniform(V.grid(spark, sf).select("vid", "frame", "n"), "vid", V.FRAMES, 5, "n")
+    height = smooth.agg(F.percentile("smooth", F.lit(0.85)).alias("height"))
+    return stats.local_maxima(smooth.crossJoin(F.broadcast(height)), "vid", F.col("height"), 6, "smooth")  # height: one row
 
 
 @query("q_cut_mask", "SELECT vid, frame FROM grid WHERE cut", V.GRID_SQL)
