@@ -146,7 +146,9 @@ def multiscale(spark, sf):
     lin = dsp.filled_linear(V.grid(spark, sf), "vid", "m_view").select("vid", "frame", "cut", "m_view", "filled", "n")
     out = None
     for size in (2, 6, 24):  # fill, filter, mask again
-        s = dsp.uniform(dsp.uniform(lin, "vid", V.FRAMES, size, "filled", "a"), "vid", V.FRAMES, size, "n", "b").where(~F.col("cut") & F.col("m_view").isNotNull())
+        w = dsp.by_frame("vid").rowsBetween(-(size // 2), size - 1 - size // 2)
+        both = dsp.mirrored(lin, "vid", V.FRAMES, size).withColumn("a", F.avg("filled").over(w)).withColumn("b", F.avg("n").over(w))
+        s = dsp.inside(both, V.FRAMES).where(~F.col("cut") & F.col("m_view").isNotNull())
         t = s.agg(r4(stats.pearson("a", "b")).alias("r"), F.count("*").alias("n")).select(F.lit(size).alias("size"), "r", "n")
         out = t if out is None else out.union(t)
     return out
