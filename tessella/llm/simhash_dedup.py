@@ -125,23 +125,39 @@ def _contract(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, agree: int) -> np.ndarray:
-    """Whether at least ``agree`` bytes of two sketches are equal; all are alike without sketches."""
-    if not agree:
-        return np.ones(len(a), bool)
-    return np.concatenate([(sketch[a[i : i + (1 << 18)]] == sketch[b[i : i + (1 << 18)]]).sum(1) >= agree for i in range(0, len(a), 1 << 18)]) if len(a) else np.zeros(0, bool)
+def likeness(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of pairs of sketches: equal bins of those that either fills; 1 if neither has one."""
+    out = np.ones(len(a))
+    for i in range(0, len(a), 1 << 15):
+        x, y = sketch[a[i : i + (1 << 15)]], sketch[b[i : i + (1 << 15)]]
+        either = ((x | y) > 0).sum(1)
+        out[i : i + (1 << 15)] = np.where(either > 0, ((x == y) & (x > 0)).sum(1) / np.maximum(either, 1), 1.0)
+    return out
+
 
+def shard_links(fp: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int, sketch: np.ndarray, agree: float, doubt: float = 0.0, open_pairs: list | None = None) -> np.ndarray:
+    """Index of the class root of each row; rows (sorted by shard, fp) link within a shard. side 1: queries, 0: tree rows, 2: both.
 
-def shard_links(fp: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int, sketch: np.ndarray, agree: int) -> np.ndarray:
-    """Index of the class root of each row; rows (sorted by shard, fp) link within a shard. side 1: queries, 0: tree rows, 2: both."""
+    With ``agree``, only rows whose sketches are so much alike link; pairs from ``doubt`` up to it go to ``open_pairs``.
+    """
     parent = np.arange(len(fp))
+    unsure: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def decide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not agree:
+            return np.ones(len(a), bool)
+        like = likeness(sketch, a, b)
+        middle = (like >= doubt) & (like < agree)
+        unsure.append((a[middle], b[middle]))
+        return like >= agree
+
     same = np.flatnonzero((shard[1:] == shard[:-1]) & (fp[1:] == fp[:-1]) & (side[1:] == side[:-1])) + 1
     first = np.arange(len(fp))
     first[same] = 0
     first = np.maximum.accumulate(first)  # the first row of each run of equal fingerprints
     joined = np.zeros(len(fp), bool)
     for other in (first[same], same - 1):
-        good = alike(sketch, same, other, agree)
+        good = decide(same, other)
         parent = _contract(parent, same[good], other[good])
         joined[same[good]] = True
     tree = np.flatnonzero((side != 1) & ~joined)  # rows joined to an equal fingerprint are found with it
@@ -151,8 +167,10 @@ def shard_links(fp: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int
         a, b = ask[q], tree[t]
         new = parent[a] != parent[b]
         a, b = a[new], b[new]
-        good = alike(sketch, a, b, agree)
+        good = decide(a, b)
         parent = _contract(parent, a[good], b[good])
+    if open_pairs is not None:
+        open_pairs.extend((a[parent[a] != parent[b]], b[parent[a] != parent[b]]) for a, b in unsure)
     return parent
 
 
@@ -178,10 +196,11 @@ def blocks_for(n: int, radius: int, expected: int = 256) -> int:
 KEYS = ("family", "value", "part", "other")
 
 
-def links(points: DataFrame, radius: int = 4, agree: int = 0, blocks: int | None = None, shard_rows: int = 4096) -> DataFrame:
-    """Spanning links (a, b), a != b, between nodes whose fingerprints of one kind are within ``radius`` bits.
+def links(points: DataFrame, radius: int = 4, agree: float = 0.0, blocks: int | None = None, shard_rows: int = 4096, doubt: float = 0.0) -> DataFrame:
+    """Spanning links (a, b, sure), a != b, between nodes whose fingerprints of one kind are within ``radius`` bits.
 
-    points: node, kind, fp, sketch; with ``agree``, sketches must also have so many equal bytes.
+    points: node, kind, fp, sketch. With ``agree``, sketches must also be so much alike; pairs of likeness
+    from ``doubt`` up to it, not joined otherwise in their shard, come with ``sure`` false.
     """
     spark = points.sparkSession
     kinds = points.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
@@ -204,9 +223,11 @@ def links(points: DataFrame, radius: int = 4, agree: int = 0, blocks: int | None
             v = table[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(fp), -1) if agree else np.zeros((0, 0), np.uint8)
-        root = shard_links(fp, np.cumsum(new), table["side"].to_numpy(), radius, sketch, agree)
+        unsure: list[tuple[np.ndarray, np.ndarray]] = []
+        root = shard_links(fp, np.cumsum(new), table["side"].to_numpy(), radius, sketch, agree, doubt, unsure)
         linked = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(node[root[linked]]), pa.array(node[linked])], names=["a", "b"])
+        a, b = np.concatenate([root[linked], *[x for x, _ in unsure]]), np.concatenate([linked, *[y for _, y in unsure]])
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.arange(len(a)) < len(linked))], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,7 +235,7 @@ def links(points: DataFrame, radius: int = 4, agree: int = 0, blocks: int | None
         for b in batches:  # sorted by shard; handled in runs of whole shards
             held.append(b)
             rows += b.num_rows
-            if rows < 1 << 17:
+            if rows < 1 << 16:
                 continue
             table = pa.Table.from_batches(held)
             last = np.logical_and.reduce([(v := table[k].to_numpy()) == v[-1] for k in KEYS])
@@ -226,7 +247,7 @@ def links(points: DataFrame, radius: int = 4, agree: int = 0, blocks: int | None
             yield out(pa.Table.from_batches(held).combine_chunks())
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS, "side", "fp").mapInArrow(run, "a long, b long")
+    return dealt.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS, "side", "fp").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,8 +286,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, shard_ro
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "class_rows")
 
 
-#: For ``deduplicate``: fingerprints of distinct words, sketch bytes of five-word shingles, and how many must agree.
-VIEWS, SKETCH, AGREE = 4, 32, 22
+#: For ``deduplicate``: fingerprints of distinct words, sketch bins of five-word shingles, least similarity of near copies.
+VIEWS, SKETCH, SIMILAR = 4, 256, 0.8
+#: The estimate's standard deviation is at most 0.027 with 256 bins: from AGREE on it decides, below DOUBT it rejects,
+#: between them the shingle sets do.
+AGREE, DOUBT = 0.9, 0.7
 
 
 def views_of(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -279,19 +303,47 @@ def views_of(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     fps = [majority(K.mix(own ^ np.uint64(0x632BE59BD9B4E019 * (v + 1) % (1 << 64))), ends) for v in range(VIEWS)]
     data, start, end, offsets = K.shingle_spans(w, 5)
     grams = K.xxh64(data, start, end)
-    sketch = np.zeros((len(text), SKETCH), np.uint8)
-    full = np.flatnonzero(np.diff(offsets))
-    for k in range(SKETCH if len(full) else 0):
-        least = np.minimum.reduceat(K.mix(grams + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))), offsets[:-1][full])
-        sketch[full, k] = (K.mix(least) & np.uint64(255)).astype(np.uint8)
+    low = np.full(len(text) * SKETCH, np.iinfo(np.uint64).max, np.uint64)  # the least hash of each bin, one permutation
+    np.minimum.at(low, np.repeat(np.arange(len(text)), np.diff(offsets)) * SKETCH + (grams % np.uint64(SKETCH)).astype(np.int64), grams // np.uint64(SKETCH))
+    sketch = np.where(low == np.iinfo(np.uint64).max, 0, 1 + K.mix(low) % np.uint64(255)).astype(np.uint8).reshape(len(text), SKETCH)
     return fps, sketch
 
 
+def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of lower-cased five-word shingles have a Jaccard similarity of ``similar`` or more.
+
+    texts: node, text, a row for each node. Only texts of nodes in a pair are moved, as sorted hashes.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in K.slices(iter([batch])):
+                data, start, end, offsets = K.shingle_spans(K.words(b.column("text"), lower=True), 5)
+                h = K.xxh64(data, start, end)
+                sets = [np.unique(h[x:y]).astype("<u8").tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("ga"), b.column("gb"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = K.stored(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(grams, "node long, grams binary"))
+    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    return sided.select("a", "b", "ga", "gb").mapInArrow(alike, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near copies: the one of the smallest doc_id.
 
     Groups are links between texts: equal texts, and texts with a word fingerprint within ``radius`` bits in
-    any of VIEWS views whose five-word shingles are about 0.8 alike or more (AGREE of SKETCH sketch bytes).
+    any of VIEWS views whose five-word shingles are SIMILAR or more alike. The sketch settles clear cases,
+    the shingle sets themselves the rest.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
 
@@ -304,7 +356,18 @@ def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
     rows = K.stored(base.mapInArrow(run, "doc_id long, node long, fps array<long>, sketch binary"))
     classes = K.stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")))
     points = classes.select("node", "sketch", F.posexplode("fps").alias("kind", "fp"))
-    comps = K.stored(components(links(points, radius, AGREE)))
+    found = K.stored(links(points, radius, AGREE, doubt=DOUBT))
+    comps = K.stored(components(found.where("sure")))
+    unsure = found.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        unsure = unsure.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    unsure = K.stored(unsure.where("a_root <> b_root").select("a", "b"))
+    if not unsure.isEmpty():
+        texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        one = classes.select("node", "first_id").join(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        texts = texts.alias("t").join(one.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.doc_id").eqNullSafe(F.col("c.first_id"))).select("t.node", "t.text")
+        near = verified(unsure, texts).unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        comps = K.stored(components(near.distinct()))
     tops = comps.select(F.col("root").alias("node")).distinct()
     members = comps.unionByName(tops.withColumn("root", F.col("node"))).join(classes.select("node", "first_id"), "node")
     chosen = members.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("c")).select("c.node")

@@ -185,3 +185,49 @@ def test_pipeline_keeps_one_of_each_group(spark):
             assert not [1 for i in range(len(grams)) for j in range(i) if grams[i] and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.9]
         docs = out
     assert {r[0] for r in docs.select("doc_id").collect()} == {r[0] for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()}
+
+
+def gram_set(t):
+    w = low(t)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_near_copies_are_the_exact_groups(spark):
+    docs = textkit.read(spark, "/root/testdata/sf0.01", "documents")
+    base = [f"w{i * 37 % 101}x{i}" for i in range(120)]
+    planted = [base, [*base[:60], "other", *base[61:]], [*base[:30], *[f"n{i}" for i in range(30)], *base[60:]]]  # 0.93 and about 0.5 alike
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(10**9 + i, " ".join(t)) for i, t in enumerate(planted)], "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    grams = [gram_set(t) for _, t in rows]
+    holders = {}
+    for i, g in enumerate(grams):
+        for s in g:
+            holders.setdefault(s, []).append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, g in enumerate(grams):
+        for j, n in Counter(j for s in g for j in holders[s] if j > i).items():
+            if n >= 0.8 * (len(g) + len(grams[j]) - n):
+                root[find(j)] = find(i)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    kept = {r["doc_id"] for r in simhash_dedup.deduplicate(docs).select("doc_id").collect()}
+    assert not [g for g in groups.values() if not kept & set(g)]  # no group is lost, so no clean document is
+    assert kept == {min(g) for g in groups.values()}
+    assert {10**9, 10**9 + 2} <= kept and 10**9 + 1 not in kept
+
+
+def test_verification_is_exact_at_the_limit(spark):
+    w = [f"w{i}" for i in range(400)]
+    t = [w[:40], w[:45], w[:44], w[:200]]  # 36 shingles of 41, 36 of 40, 36 of 196
+    texts = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(t)], "node long, text string")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 2)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in simhash_dedup.verified(pairs, texts, 0.88).collect()}
+    assert got == {(0, 2), (1, 2)}
+    assert {(r["a"], r["b"]) for r in simhash_dedup.verified(pairs, texts, 36 / 41).collect()} == {(0, 1), (0, 2), (1, 2)}
