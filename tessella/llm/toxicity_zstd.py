@@ -42,10 +42,21 @@ def forms(vocab: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(vocab), r"[^\pL\pN]+", "")
 
 
+def runs(texts: list[str], limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``limit`` characters at a time, so that the driver holds few temporary arrays."""
+    number = np.cumsum([len(t) for t in texts]) // limit
+    cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if texts else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield pa.array(texts[a:b], pa.large_string())
+
+
 def normal(texts: list[str]) -> list[list[str]]:
-    w = K.words(pa.array(texts, pa.large_string()))
-    values = np.array([*forms(w.vocab).to_pylist(), ""], object)[:-1]
-    return [[x for x in values[w.codes[a:b]] if x] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
+    out, held = [], {}
+    for part in runs(texts):
+        w = K.words(part)
+        values = [held.setdefault(x, x) for x in forms(w.vocab).to_pylist()]
+        out += [[x for c in w.codes[a:b].tolist() if (x := values[c])] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
+    return out
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -92,14 +103,15 @@ def different(texts: list[str]) -> list[str]:
     """Texts without near copies of earlier ones: those that share one of two MinHash values of five-word shingles with one are left out."""
     seen: set = set()
     out = []
-    data, start, end, offsets = K.shingle_spans(K.words(pa.array(texts, pa.large_string()), lower=True), 5)
-    h = K.xxh64(data, start, end)
-    for t, lo, hi in zip(texts, offsets[:-1], offsets[1:], strict=True):
-        own = h[lo:hi]
-        keys = {(k, int(K.mix(own ^ np.uint64(k)).min())) for k in (1, 2)} if len(own) else {(0, 0)}
-        if not keys & seen:
-            out.append(t)
-        seen |= keys
+    for part in runs(texts):
+        data, start, end, offsets = K.shingle_spans(K.words(part, lower=True), 5)
+        h = K.xxh64(data, start, end)
+        for t, lo, hi in zip(part.to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            own = h[lo:hi]
+            keys = {(k, int(K.mix(own ^ np.uint64(k)).min())) for k in (1, 2)} if len(own) else {(0, 0)}
+            if not keys & seen:
+                out.append(t)
+            seen |= keys
     return out
 
 
@@ -121,7 +133,7 @@ class Model:
         self.toxic = (trained(rest, min(TOXIC_BYTES // 2, max(512, len(spelled)))) if rest else b"") + spelled
         self.plain = plain
         self.weights, self.center, self.spread = np.zeros(4), np.zeros(4), np.ones(4)
-        x = np.concatenate([self.features(pa.array(toxic, pa.large_string())), self.features(pa.array(ordinary, pa.large_string()))])
+        x = np.concatenate([self.features(part) for part in (*runs(toxic), *runs(ordinary))])
         self._fit(x, np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
 
     def __getstate__(self) -> dict:
