@@ -247,7 +247,7 @@ def links(points: DataFrame, radius: int = 4, agree: float = 0.0, blocks: int |
             yield out(pa.Table.from_batches(held).combine_chunks())
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS, "side", "fp").mapInArrow(run, "a long, b long, sure boolean")
+    return dealt.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS, "side", "fp", "node").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,8 +305,9 @@ def views_of(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     grams = K.xxh64(data, start, end)
     low = np.full(len(text) * SKETCH, np.iinfo(np.uint64).max, np.uint64)  # the least hash of each bin, one permutation
     np.minimum.at(low, np.repeat(np.arange(len(text)), np.diff(offsets)) * SKETCH + (grams % np.uint64(SKETCH)).astype(np.int64), grams // np.uint64(SKETCH))
-    sketch = np.where(low == np.iinfo(np.uint64).max, 0, 1 + K.mix(low) % np.uint64(255)).astype(np.uint8).reshape(len(text), SKETCH)
-    return fps, sketch
+    sketch = (low % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    sketch[low == np.iinfo(np.uint64).max] = 0
+    return fps, sketch.reshape(len(text), SKETCH)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -348,7 +349,7 @@ def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=2 << 20):  # shingle spans take about 30 bytes for each byte of text
             fps, sketch = views_of(b.column("text"))
             stacked = np.stack(fps, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(list(stacked), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "node", "fps", "sketch"])
