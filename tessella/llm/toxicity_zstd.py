@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained on labelled text: one on windows of ordinary texts, one on what toxic
 texts have beyond ordinary ones (the words significantly over-represented there, in their order). A window of
-``WINDOW`` words is compressed with the ordinary dictionary and with the toxic one placed after the same ordinary
-content, so that the two lengths differ by matches in toxic content. A window without a ``GRAM``-byte string of the toxic dictionary has no such match (the compressor's shortest
-match is ``GRAM``), so its difference is zero and it is not compressed. The differences of all windows of a
+``WINDOW`` words is compressed with the ordinary dictionary and with the toxic one placed before the same ordinary
+content, whose distances stay as they are, so that the two lengths differ by matches in toxic content. Every window
+is compressed both ways. The differences of all windows of a
 text give its features, and a logistic fit, calibrated on training rows, turns them into a score.
 
 Fitting reads a bounded sample: about ``SAMPLE_DOCS`` labelled texts of each label and ``SAMPLE_BYTES``, by hash of
@@ -116,7 +116,7 @@ def different(texts: list[str]) -> list[str]:
 
 
 class Model:
-    """The two compressors, the strings that make a window worth compressing, and the logistic fit."""
+    """The two compressors and the logistic fit."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         self.ok = bool(toxic and ordinary)
@@ -137,7 +137,7 @@ class Model:
         self._fit(x, np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_with", "_without", "_grams", "_mark", "_lead")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_with", "_without", "_lead")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -145,30 +145,10 @@ class Model:
     def _ready(self) -> None:
         if hasattr(self, "_with"):
             return
-        p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=GRAM, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self._with, self._without = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (self.plain + self.toxic, self.plain))
+        # a chain_log of 17 keeps 65536 places in the search tree: all of both dictionaries
+        p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=17, search_log=4, min_match=GRAM, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self._with, self._without = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (self.toxic + self.plain, self.plain))
         self._lead = self.plain[-LEAD_BYTES:] + b" "
-        held = {g for i in range(len(self.toxic)) if len(g := self.toxic[i : i + GRAM]) == GRAM} - {self.plain[i : i + GRAM] for i in range(len(self.plain))}
-        self._grams = np.array(sorted(int.from_bytes(g, "little") for g in held), np.uint32)
-        self._mark = np.zeros(1 << 16, bool)
-        self._mark[self._grams * np.uint32(2654435761) >> np.uint32(16)] = True
-
-    def suspicious(self, values: pa.Array) -> np.ndarray:
-        """Whether a word, with a space on either side, holds a string that only the toxic dictionary has."""
-        out = np.zeros(len(values), bool)
-        data, offsets = K.bytes_view(values)
-        if not len(self._grams) or not len(values):
-            return out
-        n = np.diff(offsets)
-        spaced = np.full(len(data) + 2 * len(n) + GRAM, 32, np.uint8)
-        spaced[np.arange(len(data)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = data
-        grams = np.lib.stride_tricks.as_strided(spaced, (len(spaced) - GRAM + 1, GRAM), (1, 1)).copy().view("<u4").ravel()
-        at = np.flatnonzero(self._mark[grams * np.uint32(2654435761) >> np.uint32(16)])
-        at = at[np.isin(grams[at], self._grams)]
-        word = np.searchsorted(offsets[1:] + 2 * np.arange(1, len(n) + 1), at, "right")
-        inside = (word < len(n)) & (at + GRAM <= (offsets[1:] + 2 * np.arange(1, len(n) + 1))[np.minimum(word, len(n) - 1)])
-        out[word[inside]] = True
-        return out
 
     def features(self, text: pa.Array) -> np.ndarray:
         """For each text: bytes saved in its best window, in its best three, in all, and all per log of its windows."""
@@ -184,8 +164,7 @@ class Model:
         form, offsets = form[some], K.keep_where(some, w.offsets)
         row = np.repeat(np.arange(len(text)), np.diff(offsets))
         inside = np.arange(len(form)) - offsets[row]
-        hit = np.flatnonzero(self.suspicious(coded.dictionary)[form])
-        start = np.unique(hit - inside[hit] % WINDOW)
+        start = np.flatnonzero(inside % WINDOW == 0)
         end = np.minimum(start + WINDOW, offsets[row[start] + 1])
         saved = np.zeros(len(start))
         plain, toxic = self._without.compress, self._with.compress
