@@ -160,7 +160,9 @@ def shard_links(fp: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int
         good = decide(same, other)
         parent = _contract(parent, same[good], other[good])
         joined[same[good]] = True
-    tree = np.flatnonzero((side != 1) & ~joined)  # rows joined to an equal fingerprint are found with it
+    if agree:  # links depend on the text: rows of an equal fingerprint are searched too
+        joined[:] = False
+    tree = np.flatnonzero((side != 1) & ~joined)  # else rows joined to an equal fingerprint are found with it
     forest = Forest(fp[tree], shard[tree])
     ask = np.flatnonzero((side != 0) & ~joined)
     for q, t in forest.search(fp[ask], shard[ask], radius):

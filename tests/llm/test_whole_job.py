@@ -72,3 +72,11 @@ def test_toxicity_features_cover_every_window():
         want = [sum(saved[:1]), sum(saved[:3]), sum(saved), sum(saved) / np.log(2 + len(w) / 6)]
         assert np.allclose(row, want)
     assert got[:20, 0].min() > 0
+
+
+def test_rows_joined_to_an_equal_fingerprint_keep_their_links():
+    fp = np.array([5, 5, 7], np.uint64)
+    sketch = np.tile(np.arange(1, 101, dtype=np.uint8), (3, 1))
+    sketch[1, :8] = 200  # 0.92 like the first row
+    sketch[2, :16] = 200  # 0.92 like the second, 0.84 like the first
+    assert simhash_dedup.shard_links(fp, np.zeros(3, int), np.full(3, 2), 4, sketch, 0.9, 0.7, []).tolist() == [0, 0, 0]
