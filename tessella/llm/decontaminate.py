@@ -8,7 +8,8 @@ and item share over the item's weight, at least ``SIMILARITY``. Windows without
 any item have similarity zero and are not fingerprinted; that loses nothing.
 
 The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, each sent to the workers once, whatever its size.
-Items of fewer than five words are one shingle of all their words; items without words match nothing.
+Items of fewer than five words are one shingle of all their words; items without words match nothing;
+items without an id are searched like others and reported with a null item_id.
 Null texts are empty; rows that repeat are reported each; equal scores take the earliest window; empty
 tables give empty results; extra columns are ignored.
 """
@@ -21,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str]):
         w = K.words(pa.array(texts, pa.large_string()), lower=True)
         hashes = K.hash_values(w.vocab)[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
-        self.ids, self.length = np.asarray(ids, np.int64), w.counts
+        self.ids, self.length = pa.array(ids, pa.int64()), w.counts
         rows, grams = [], []
         for r, (a, b) in enumerate(zip(w.offsets[:-1], w.offsets[1:], strict=True)):
             if b > a:
@@ -99,7 +101,7 @@ def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def matches_of(w: K.Words, items: Items, block: int = 20000) -> tuple[np.ndarray, ...]:
+def matches_of(w: K.Words, items: Items, block: int = 20000) -> tuple[np.ndarray | pa.Array, ...]:
     """(row, item, first word in the row, words, similarity, differing bits): the best window of each row and item."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, float, np.int64))
     if not len(w.codes) or not len(items.gram):
@@ -166,44 +168,54 @@ def matches_of(w: K.Words, items: Items, block: int = 20000) -> tuple[np.ndarray
     row, item, first, n, similarity, bits = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.lexsort((first, bits, -similarity, item, row))
     best = order[np.r_[True, (np.diff(row[order]) != 0) | (np.diff(item[order]) != 0)]] if len(order) else order
-    return row[best], items.ids[item[best]], first[best], n[best], similarity[best], bits[best]
+    return row[best], items.ids.take(pa.array(item[best])), first[best], n[best], similarity[best], bits[best]
 
 
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, similarity double, bits long"
 
 
+def blocks_of(spark: SparkSession, benchmark: DataFrame, block_items: int) -> Iterator[Broadcast]:
+    """The different benchmark items, ``block_items`` at a time; one empty block if there are none."""
+    rows = K.columns_of(benchmark, "item_id", "text").where("text IS NOT NULL").dropDuplicates()
+    block: list = []
+    empty = True
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == block_items:
+            yield spark.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
+            block, empty = [], False
+    if block or empty:
+        yield spark.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The best window of each document and benchmark item whose similarity reaches SIMILARITY."""
-    spark = docs.sparkSession
-    rows = K.columns_of(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    block: list = []
-    found: list[DataFrame] = []
-
-    def scan(block: list) -> DataFrame:
-        items = spark.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
 
+    def scan(items: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in K.slices(batches):
                 row, *rest = matches_of(K.words(b.column("text"), lower=True), items.value)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *[pa.array(x) for x in rest]], names=SCHEMA.replace(",", "").split()[::2])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *[x if isinstance(x, pa.Array) else pa.array(x) for x in rest]], names=SCHEMA.replace(",", "").split()[::2])
 
         return source.mapInArrow(run, SCHEMA)
 
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == block_items:
-            found.append(scan(block))
-            block = []
-    if block or not found:
-        found.append(scan(block))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, map(scan, blocks_of(docs.sparkSession, benchmark, block_items)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows without a match, in all their columns; each row is judged by its own text, whatever its doc_id."""
+
+    def scan(rows: DataFrame, items: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in K.slices(batches):
+                keep = np.ones(b.num_rows, bool)
+                keep[matches_of(K.words(b.column("text"), lower=True), items.value)[0]] = False
+                yield b.filter(pa.array(keep))
 
+        return rows.mapInArrow(run, docs.schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a match, in all their columns."""
-    hit = find(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return reduce(scan, blocks_of(docs.sparkSession, benchmark, block_items), docs)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from tessella.llm import simhash_dedup, textkit, toxicity_zstd
+from tessella.llm import decontaminate, simhash_dedup, textkit, toxicity_zstd
 
 
 def low(t):
@@ -80,3 +80,12 @@ def test_rows_joined_to_an_equal_fingerprint_keep_their_links():
     sketch[1, :8] = 200  # 0.92 like the first row
     sketch[2, :16] = 200  # 0.92 like the second, 0.84 like the first
     assert simhash_dedup.shard_links(fp, np.zeros(3, int), np.full(3, 2), 4, sketch, 0.9, 0.7, []).tolist() == [0, 0, 0]
+
+
+def test_decontamination_judges_rows_and_items_without_ids(spark):
+    item, clean = " ".join(f"w{i}" for i in range(40)), " ".join(f"c{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, item), (1, item), (1, clean), (None, clean), (2, f"{item[::-1]} x"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (None, item[::-1])], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.clean(docs, items).collect()) == [(0, clean), (1, clean), (3, "")]
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in decontaminate.find(docs, items).collect()) == [(0, 7), (1, 7), (2, 0)]
+    assert decontaminate.clean(docs, items, 1).count() == 3
