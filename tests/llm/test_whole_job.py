@@ -3,9 +3,8 @@
 import re
 
 import numpy as np
-import pyarrow as pa
 
-from tessella.llm import decontaminate, simhash_dedup, textkit, toxicity_zstd
+from tessella.llm import decontaminate, simhash_dedup, textkit
 
 
 def low(t):
@@ -57,23 +56,6 @@ def test_near_copies_of_every_edit_are_found(spark):
     assert {a for _, a, _ in pairs} <= kept
 
 
-def test_toxicity_features_cover_every_window():
-    rng = np.random.default_rng(3)
-    plain = [" ".join(f"{'abcdefgh'[i % 8]}nder{i % 61}" for i in rng.integers(0, 4000, 60)) for _ in range(300)]
-    toxic = [f"{t} under1nder2 gnder60 under1nder2" for t in plain[:60]]  # each four-byte string of the word is also in ordinary words
-    model = toxicity_zstd.Model(toxic, plain[60:])
-    texts = [*toxic[:20], *plain[60:80], "", "under1nder2"]
-    got = model.features(pa.array(texts, pa.large_string()))
-    model._ready()
-    for t, row in zip(texts, got, strict=True):
-        w = toxicity_zstd.normal([t])[0]
-        whole = [model._lead + (" ".join(w[i : i + 6]) + " ").encode() for i in range(0, len(w), 6)]
-        saved = sorted((max(0, len(model._without.compress(s)) - len(model._with.compress(s))) for s in whole), reverse=True)
-        want = [sum(saved[:1]), sum(saved[:3]), sum(saved), sum(saved) / np.log(2 + len(w) / 6)]
-        assert np.allclose(row, want)
-    assert got[:20, 0].min() > 0
-
-
 def test_rows_joined_to_an_equal_fingerprint_keep_their_links():
     fp = np.array([5, 5, 7], np.uint64)
     sketch = np.tile(np.arange(1, 101, dtype=np.uint8), (3, 1))
