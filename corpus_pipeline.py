@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, pack_bm25, quality_cascade, simhash_dedup, toxicity_zstd
+from tessella.llm import decontaminate, near_groups, pack_bm25, quality_cascade, toxicity_zstd
 from tessella.llm import textkit as K
 
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """6: of each group of near copies, the document of the smallest doc_id stays."""
-    return simhash_dedup.deduplicate(docs)
+    return near_groups.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

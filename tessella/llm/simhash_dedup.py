@@ -15,7 +15,7 @@ An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -114,7 +114,7 @@ def _roots(parent: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _contract(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def contract(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Merge the classes of linked nodes; every node then points at the smallest index of its class."""
     while True:
         ra, rb = parent[a], parent[b]
@@ -125,54 +125,29 @@ def _contract(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _roots(parent)
 
 
-def likeness(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of pairs of sketches: equal bins of those that either fills; 1 if neither has one."""
-    out = np.ones(len(a))
-    for i in range(0, len(a), 1 << 15):
-        x, y = sketch[a[i : i + (1 << 15)]], sketch[b[i : i + (1 << 15)]]
-        either = ((x | y) > 0).sum(1)
-        out[i : i + (1 << 15)] = np.where(either > 0, ((x == y) & (x > 0)).sum(1) / np.maximum(either, 1), 1.0)
-    return out
-
-
-def shard_links(fp: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int, sketch: np.ndarray, agree: float, doubt: float = 0.0, open_pairs: list | None = None) -> np.ndarray:
-    """Index of the class root of each row; rows (sorted by shard, fp) link within a shard. side 1: queries, 0: tree rows, 2: both.
-
-    With ``agree``, only rows whose sketches are so much alike link; pairs from ``doubt`` up to it go to ``open_pairs``.
-    """
+def shard_links(fp: np.ndarray, shard: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """Index of the class root of each row; rows (sorted by shard, side, fp) link within a shard. side 1: queries, 0: tree rows, 2: both."""
     parent = np.arange(len(fp))
-    unsure: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def decide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not agree:
-            return np.ones(len(a), bool)
-        like = likeness(sketch, a, b)
-        middle = (like >= doubt) & (like < agree)
-        unsure.append((a[middle], b[middle]))
-        return like >= agree
-
     same = np.flatnonzero((shard[1:] == shard[:-1]) & (fp[1:] == fp[:-1]) & (side[1:] == side[:-1])) + 1
-    first = np.arange(len(fp))
-    first[same] = 0
-    first = np.maximum.accumulate(first)  # the first row of each run of equal fingerprints
+    parent = contract(parent, same, same - 1)
     joined = np.zeros(len(fp), bool)
-    for other in (first[same], same - 1):
-        good = decide(same, other)
-        parent = _contract(parent, same[good], other[good])
-        joined[same[good]] = True
-    if agree:  # links depend on the text: rows of an equal fingerprint are searched too
-        joined[:] = False
-    tree = np.flatnonzero((side != 1) & ~joined)  # else rows joined to an equal fingerprint are found with it
+    joined[same] = True
+    tree = np.flatnonzero((side != 1) & ~joined)  # rows joined to an equal fingerprint are found with it
     forest = Forest(fp[tree], shard[tree])
-    ask = np.flatnonzero((side != 0) & ~joined)
-    for q, t in forest.search(fp[ask], shard[ask], radius):
+    if not len(tree):
+        return parent
+    top = np.full(int(shard[-1]) + 1, -1)
+    top[shard[tree][::-1]] = tree[::-1]  # the root of each shard's tree
+    rooted = np.flatnonzero((top[shard] >= 0) & (np.bitwise_count(fp ^ fp[top[shard]]) <= radius))
+    parent = contract(parent, rooted, top[shard][rooted])
+    apart = parent != parent[top[shard]]  # from the root's class, which holds what it joins already
+    mixed = np.bincount(shard, side != 2, len(top)) > 0
+    open_shard = np.bincount(shard, apart, len(top)) > 0
+    ask = np.flatnonzero((side != 0) & ~joined & np.where(mixed[shard], open_shard[shard], apart) & (top[shard] >= 0))
+    for q, t in forest.search(fp[ask], shard[ask], radius, 1 << 16 if radius < 8 else 1 << 10):
         a, b = ask[q], tree[t]
         new = parent[a] != parent[b]
-        a, b = a[new], b[new]
-        good = decide(a, b)
-        parent = _contract(parent, a[good], b[good])
-    if open_pairs is not None:
-        open_pairs.extend((a[parent[a] != parent[b]], b[parent[a] != parent[b]]) for a, b in unsure)
+        parent = contract(parent, a[new], b[new])
     return parent
 
 
@@ -184,7 +159,7 @@ def block_keys(points: DataFrame, radius: int, blocks: int) -> DataFrame:
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
         masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
     family = F.explode(F.array(*[F.struct(F.lit(i).alias("family"), F.lit(m).alias("mask")) for i, m in enumerate(masks)]))
-    return points.select("*", family.alias("f")).select("node", "fp", "sketch", (F.col("kind") * len(masks) + F.col("f.family")).alias("family"), F.col("fp").bitwiseAND(F.col("f.mask")).alias("value"))
+    return points.select("*", family.alias("f")).select("node", "fp", F.col("f.family").alias("family"), F.col("fp").bitwiseAND(F.col("f.mask")).alias("value"))
 
 
 def blocks_for(n: int, radius: int, expected: int = 256) -> int:
@@ -198,18 +173,18 @@ def blocks_for(n: int, radius: int, expected: int = 256) -> int:
 KEYS = ("family", "value", "part", "other")
 
 
-def dealt(keyed: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` with part, other and side: shards in ``large`` are cut into parts, and each pair of parts is a shard."""
-    held = keyed.join(large, ["family", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", "family"), F.col("parts")).cast("int"))
+def dealt(held: DataFrame) -> DataFrame:
+    """Rows of ``held`` with part, other and side: shards of several ``parts`` are cut into them, and each pair of parts is a shard."""
+    held = held.withColumn("own", F.pmod(F.xxhash64("node", "family"), F.col("parts")).cast("int"))
     pair = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least(o, F.col("own")).alias("part"), F.greatest(o, F.col("own")).alias("other"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")),
     )
-    return held.select("node", "fp", "sketch", "family", "value", F.explode(pair).alias("p")).select("node", "fp", "sketch", "family", "value", "p.part", "p.other", "p.side")
+    return held.select("node", "fp", "family", "value", F.explode(pair).alias("p")).select("node", "fp", "family", "value", "p.part", "p.other", "p.side")
 
 
-def searched(shards: DataFrame, find: Callable[..., np.ndarray], sketched: bool) -> DataFrame:
-    """Links (a, b, sure) that ``find(fp, shard, side, sketch, open_pairs)`` makes in each shard."""
+def searched(shards: DataFrame, radius: int) -> DataFrame:
+    """Spanning links (a, b) of each shard, within ``radius`` bits. shards: node, fp and KEYS with side."""
 
     def out(table: pa.Table) -> pa.RecordBatch:
         fp, node = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy()
@@ -217,12 +192,9 @@ def searched(shards: DataFrame, find: Callable[..., np.ndarray], sketched: bool)
         for k in KEYS:
             v = table[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(fp), -1) if sketched else np.zeros((0, 0), np.uint8)
-        unsure: list[tuple[np.ndarray, np.ndarray]] = []
-        root = find(fp, np.cumsum(new), table["side"].to_numpy(), sketch, unsure)
+        root = shard_links(fp, np.cumsum(new), table["side"].to_numpy(), radius)
         linked = np.flatnonzero(root != np.arange(len(fp)))
-        a, b = np.concatenate([root[linked], *[x for x, _ in unsure]]), np.concatenate([linked, *[y for _, y in unsure]])
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.arange(len(a)) < len(linked))], names=["a", "b", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(node[root[linked]]), pa.array(node[linked])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -242,75 +214,16 @@ def searched(shards: DataFrame, find: Callable[..., np.ndarray], sketched: bool)
             yield out(pa.Table.from_batches(held).combine_chunks())
 
     partitions = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS, "side", "fp", "node").mapInArrow(run, "a long, b long, sure boolean")
+    return shards.repartition(partitions, *KEYS).sortWithinPartitions(*KEYS, "side", "fp", "node").mapInArrow(run, "a long, b long")
 
 
-def links(points: DataFrame, radius: int = 4, agree: float = 0.0, blocks: int | None = None, shard_rows: int = 4096, doubt: float = 0.0) -> DataFrame:
-    """Spanning links (a, b, sure), a != b, between nodes whose fingerprints of one kind are within ``radius`` bits.
-
-    points: node, kind, fp, sketch. With ``agree``, sketches must also be so much alike; pairs of likeness
-    from ``doubt`` up to it, not joined otherwise in their shard, come with ``sure`` false.
-    """
-    kinds = points.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    keyed = block_keys(points, radius, blocks or blocks_for(kinds, radius))
+def links(points: DataFrame, radius: int = 4, blocks: int | None = None, shard_rows: int = 4096) -> DataFrame:
+    """Spanning links (a, b), a != b, between nodes whose fingerprints are within ``radius`` bits. points: node, fp."""
+    keyed = block_keys(points, radius, blocks or blocks_for(points.count(), radius))
     large = K.stored(keyed.groupBy("family", "value").count().where(F.col("count") > shard_rows).select("family", "value", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts")))
     if large.isEmpty():
-        shards = keyed.select("*", F.lit(0).alias("part"), F.lit(0).alias("other"), F.lit(2).alias("side"))
-    else:
-        shards = dealt(keyed, large)
-    return searched(shards, lambda fp, shard, side, sketch, unsure: shard_links(fp, shard, side, radius, sketch, agree, doubt, unsure), bool(agree))
-
-
-def band_pairs(root: np.ndarray, shard: np.ndarray, side: np.ndarray, sketch: np.ndarray, agree: float, doubt: float, open_pairs: list, best: bool) -> np.ndarray:
-    """Index of the class root of each row, after all pairs of rows of a shard that no class joins yet.
-
-    Rows of equal ``root`` are one class from the start. Pairs of likeness ``agree`` or more join; those from
-    ``doubt`` up to it go to ``open_pairs``: all of them, or with ``best`` only the likest one of each row.
-    """
-    n = len(shard)
-    order = np.lexsort((root, shard))
-    same = (shard[order][1:] == shard[order][:-1]) & (root[order][1:] == root[order][:-1])
-    parent = _contract(np.arange(n), order[:-1][same], order[1:][same])
-    size, place = np.bincount(shard)[shard], np.arange(n) - np.searchsorted(shard, shard)
-    unsure: list[tuple[np.ndarray, np.ndarray]] = []
-    likest, other = np.zeros(n), np.zeros(n, np.int64)
-    left, step = np.flatnonzero(size > 1), 0
-    while len(left):
-        step += 1
-        left = left[place[left] + step < size[left]]
-        a, b = left, left + step
-        met = (parent[a] != parent[b]) & ((side[a] == 2) | (side[a] != side[b]))
-        a, b = a[met], b[met]
-        like = likeness(sketch, a, b)
-        middle, good = (like >= doubt) & (like < agree), like >= agree
-        for x, y in ((a[middle], b[middle]), (b[middle], a[middle])) if best else ():
-            more = like[middle] > likest[x]  # each row is once in a and once in b at most
-            likest[x[more]], other[x[more]] = like[middle][more], y[more]
-        if not best:
-            unsure.append((a[middle].astype(np.int32), b[middle].astype(np.int32)))
-        if good.any():
-            parent = _contract(parent, a[good], b[good])
-    if best:
-        unsure.append((np.flatnonzero(likest), other[likest > 0]))
-    open_pairs.extend((a[parent[a] != parent[b]], b[parent[a] != parent[b]]) for a, b in unsure)
-    return parent
-
-
-def band_shards(classes: DataFrame) -> DataFrame:
-    """node, family and value of every band that two or more nodes share. classes: node, bands."""
-    keyed = classes.select("node", F.posexplode("bands").alias("family", "value"))
-    return keyed.join(keyed.groupBy("family", "value").count().where("count > 1").select("family", "value"), ["family", "value"], "left_semi")
-
-
-def band_links(held: DataFrame, sketches: DataFrame, agree: float, doubt: float, best: bool, shard_rows: int = 4096) -> DataFrame:
-    """Links (a, b, sure), as of ``links``, between nodes of a band that have different roots.
-
-    held: node, family, value, root; sketches: node, sketch.
-    """
-    counts = held.groupBy("family", "value").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("apart"))
-    shared = K.stored(counts.where("apart").select("family", "value", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")))
-    asked = held.join(shared.select("family", "value"), ["family", "value"], "left_semi").join(sketches, "node").withColumnRenamed("root", "fp")
-    return searched(dealt(asked, shared.where("parts > 1")), lambda root, shard, side, sketch, unsure: band_pairs(root, shard, side, sketch, agree, doubt, unsure, best), True)
+        return searched(keyed.select("*", F.lit(0).alias("part"), F.lit(0).alias("other"), F.lit(2).alias("side")), radius)
+    return searched(dealt(keyed.join(large, ["family", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))), radius)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,7 +253,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, shard_ro
     """doc_id, fp, component_id (smallest doc_id reachable) of every row, and the rows of its exact class."""
     rows = K.stored(fingerprints(docs, shingle))
     classes = K.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_rows")))
-    points = classes.select(F.col("fp").alias("node"), F.lit(0).alias("kind"), "fp", F.lit(b"").alias("sketch"))
+    points = classes.select(F.col("fp").alias("node"), "fp")
     comps = K.stored(components(links(points, radius, shard_rows=shard_rows)).withColumnRenamed("node", "fp"))
     tops = comps.select("root").distinct().join(classes.select(F.col("fp").alias("root"), "first_id"), "root")
     members = comps.join(classes.select("fp", "first_id"), "fp").select("root", "first_id").union(tops)
@@ -349,120 +262,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, shard_ro
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "class_rows")
 
 
-#: For ``deduplicate``: sketch bins of five-word shingles, least similarity of near copies.
-SKETCH, SIMILAR = 256, 0.8
-#: Bands of MinHash values of the shingle set. A pair of similarity s shares a band with probability
-#: 1 - (1 - s ** BAND_ROWS) ** BANDS, wherever its texts differ: 0.999996 at 0.8, more above.
-BANDS, BAND_ROWS = 24, 4
-#: The estimate's standard deviation is at most 0.027 with 256 bins: from AGREE on it decides, below DOUBT it rejects,
-#: between them the shingle sets do.
-AGREE, DOUBT = 0.9, 0.7
-
-
-def sketches_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A MinHash sketch and BANDS keys of each text's five-word shingles."""
-    w = K.words(text, lower=True)
-    data, start, end, offsets = K.shingle_spans(w, 5)
-    grams = K.xxh64(data, start, end)
-    low = np.full(len(text) * SKETCH, np.iinfo(np.uint64).max, np.uint64)  # the least hash of each bin, one permutation
-    np.minimum.at(low, np.repeat(np.arange(len(text)), np.diff(offsets)) * SKETCH + (grams % np.uint64(SKETCH)).astype(np.int64), grams // np.uint64(SKETCH))
-    sketch = (low % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    sketch[low == np.iinfo(np.uint64).max] = 0
-    return sketch.reshape(len(text), SKETCH), bands_of(grams, offsets)
-
-
-def bands_of(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each row of shingle hashes, BANDS keys of BAND_ROWS MinHash values each; one for a row without shingles."""
-    keys = np.ones((len(offsets) - 1, BANDS), np.uint64)
-    full = np.flatnonzero(np.diff(offsets))
-    if len(full):
-        for k in range(BANDS * BAND_ROWS):
-            low = np.minimum.reduceat(K.mix(grams ^ K.mix(np.array([k + 1], np.uint64))), offsets[:-1][full])
-            keys[full, k // BAND_ROWS] = K.mix(keys[full, k // BAND_ROWS] ^ low) + np.uint64(1)
-    return keys
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of lower-cased five-word shingles have a Jaccard similarity of ``similar`` or more.
-
-    texts: node, text, a row for each node. Only texts of nodes in a pair are moved, as sorted hashes.
-    """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in K.slices(iter([batch])):
-                data, start, end, offsets = K.shingle_spans(K.words(b.column("text"), lower=True), 5)
-                h = K.xxh64(data, start, end)
-                sets = [np.unique(h[x:y]).astype("<u8").tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ga"), b.column("gb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similar * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = K.stored(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(grams, "node long, grams binary"))
-    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return sided.select("a", "b", "ga", "gb").mapInArrow(alike, "a long, b long")
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one row of each group of near copies: the one of the smallest doc_id.
-
-    Groups are links between texts: equal texts, and texts whose five-word shingles are SIMILAR or more alike.
-    Candidates share a band of MinHash values of those shingles. The sketch settles clear cases, the shingle sets
-    themselves the rest: first each text's likest candidate, then every pair that no group joins by then.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches, limit=2 << 20):  # shingle spans take about 30 bytes for each byte of text
-            sketch, bands = sketches_of(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], names=["doc_id", "node", "sketch", "bands"])
-
-    rows = K.stored(base.mapInArrow(run, "doc_id long, node long, sketch binary, bands array<long>"))
-    classes = K.stored(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    shards, sketches = K.stored(band_shards(classes)), classes.select("node", "sketch")
-    near: DataFrame | None = None
-    for best in (True, False):
-        held = shards.withColumn("root", F.col("node")) if near is None else shards.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = K.stored(band_links(held, sketches, AGREE, DOUBT, best))
-        sure = found.where("sure").select("a", "b")
-        near = sure if near is None else near.unionByName(sure)
-        comps = K.stored(components(near))
-        unsure = found.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for end in ("a", "b"):
-            unsure = unsure.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-        unsure = K.stored(unsure.where("a_root <> b_root").select("a", "b"))
-        near = comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if not unsure.isEmpty():
-            texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            one = classes.select("node", "first_id").join(unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-            texts = texts.alias("t").join(one.alias("c"), (F.col("t.node") == F.col("c.node")) & F.col("t.doc_id").eqNullSafe(F.col("c.first_id"))).select("t.node", "t.text").dropDuplicates(["node"])
-            near = K.stored(near.unionByName(verified(unsure, texts)))
-            comps = K.stored(components(near))
-    tops = comps.select(F.col("root").alias("node")).distinct()
-    members = comps.unionByName(tops.withColumn("root", F.col("node"))).join(classes.select("node", "first_id"), "node")
-    chosen = members.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("c")).select("c.node")
-    dropped = members.select("node").join(chosen, "node", "left_anti")
-    single = K.stored(classes.join(dropped, "node", "left_anti").select("node", "first_id"))
-    again = rows.groupBy("node", "doc_id").count().where("count > 1").select("node", "doc_id")
-    marked = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    key = marked["doc_id"].cast("long")
-    kept = marked.join(single, (marked["__node"] == single["node"]) & key.eqNullSafe(single["first_id"]), "left_semi")
-    again = K.stored(again.join(single, (again["node"] == single["node"]) & again["doc_id"].eqNullSafe(single["first_id"]), "left_semi"))
-    if again.isEmpty():
-        return kept.drop("__node")
-    twice = kept.join(again, (kept["__node"] == again["node"]) & kept["doc_id"].cast("long").eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["__node"])
-    once = kept.join(again, (kept["__node"] == again["node"]) & kept["doc_id"].cast("long").eqNullSafe(again["doc_id"]), "left_anti")
-    return once.union(twice).drop("__node")
-
-
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(K.read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_rows")

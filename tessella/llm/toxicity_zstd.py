@@ -1,22 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on windows of ordinary texts, one on what toxic
-texts have beyond ordinary ones (the words significantly over-represented there, in their order). A window of
-``WINDOW`` words is compressed with the ordinary dictionary and with the toxic one placed after the same ordinary
-content, so that the two lengths differ by matches in toxic content. A window without a ``GRAM``-byte string of the toxic dictionary has no such match (the compressor's shortest
-match is ``GRAM``), so its difference is zero and it is not compressed. The differences of all windows of a
-text give its features, and a logistic fit, calibrated on training rows, turns them into a score.
+Labelled texts are cut into windows of ``WINDOW`` words. ``PAIRS`` times, one zstandard dictionary is trained on
+windows of toxic texts and one on windows of ordinary texts, each on a share of its windows drawn by a seeded
+generator and of ``DICTIONARY_BYTES``. Every window of a text is compressed with every dictionary; a pair's
+difference is the length with the ordinary minus the length with the toxic dictionary. A window's distance is the mean
+difference, none counted above ``MOST``, plus the least one, so that what only one pair happens to hold counts little.
+The text's largest distance, its three largest and what its windows exceed ordinary ones by are its features; a
+logistic fit, calibrated on the training rows, turns them into a score. No window is skipped.
 
 Fitting reads a bounded sample: about ``SAMPLE_DOCS`` labelled texts of each label and ``SAMPLE_BYTES``, by hash of
 doc_id, without repeated texts. Scoring covers whole texts of all rows.
 
-Null and empty texts get the score of a text without toxic windows; without labelled rows of both kinds
+Null and empty texts get the score of a text without windows; without labelled rows of both kinds
 every score is 0.0. Empty tables give empty results; repeated rows are scored each; extra columns pass by.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from . import textkit as K
 
 SAMPLE_DOCS, SAMPLE_BYTES = 2500, 10_000_000
-WINDOW, GRAM, THRESHOLD = 6, 4, 0.7
-#: Bytes of the dictionaries, and the least G squared of a word that toxic texts have beyond ordinary ones.
-TOXIC_BYTES, ORDINARY_BYTES, SIGNIFICANT = 8192, 32768, 20.0
-#: Every window is compressed after this much of the ordinary dictionary, one match, so that none is stored raw.
-LEAD_BYTES = 96
-TOXIC_SHARE = 0.3
+WINDOW, PAIRS, DICTIONARY_BYTES, THRESHOLD = 4, 4, 65536, 0.7
+#: Windows that a dictionary is trained on at most, and the segment and d-mer size of its training.
+TRAINING_WINDOWS, SEGMENT, DMER = 60_000, 32, 6
+#: Bytes that the difference of one pair counts at most.
+MOST = 5
+#: Distance that this share of ordinary windows stays below; what exceeds it counts.
+ORDINARY_SHARE = 0.995
+#: Weight of all toxic texts together in the logistic fit.
+TOXIC_SHARE = 0.4
 
 
 def forms(vocab: pa.Array) -> pa.Array:
@@ -59,10 +62,10 @@ def normal(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a trained dictionary; of too few samples, the samples themselves."""
+def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A trained dictionary; of too few samples, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[:size]
 
@@ -71,32 +74,10 @@ def windows(words: list[str]) -> list[bytes]:
     return [(" " + " ".join(words[i : i + WINDOW]) + " ").encode() for i in range(0, len(words), WINDOW)]
 
 
-def gain(a: float, n: int, b: float, m: int) -> float:
-    """Log-likelihood ratio (G squared) of a word in a of n toxic and b of m ordinary texts."""
-    p = (a + b) / (n + m)
-    part = lambda k, e: k * np.log(k / e) if k > 0 else 0.0
-    return 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p)))
-
-
-def traits(words: list[str]) -> set[str]:
-    """The words of a text and their first four and five letters."""
-    return set(words) | {f"{w[:n]}*" for w in words for n in (4, 5) if len(w) > n}
-
-
-def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """What significantly more toxic than ordinary texts have, the most telling first: words with a space on either side,
-    and beginnings that many such words share, with a space before."""
-    a, b = Counter(x for t in toxic for x in traits(t)), Counter(x for t in ordinary for x in traits(t))
-    n, m = len(toxic), len(ordinary)
-    least = max(3, 0.01 * n)
-    found = {x: g for x, k in a.items() if k >= least and k / n >= 8 * (b[x] + 0.5) / (m + 1) and (g := gain(k, n, b[x], m)) >= SIGNIFICANT}
-    stems = {x[:-1] for x in found if x[-1] == "*" and b[x] <= 1}
-    own = [w for w in found if w[-1] != "*" and len(w) >= GRAM - 1 and all(a[w] >= 0.8 * a[f"{w[:n]}*"] for n in (4, 5) if w[:n] in stems and len(w) > n)]
-    told = {f" {w} ": found[w] for w in own}
-    for p in sorted(stems, key=len):
-        if not any(f" {p[:4]}" == t for t in told) and not any(w.startswith(p) for w in own):
-            told[f" {p}"] = found[f"{p}*"]
-    return sorted(told, key=lambda t: (-told[t], t))
+def drawn(samples: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """Seven tenths of the windows, ``TRAINING_WINDOWS`` at most; all of them if they are few."""
+    n = len(samples)
+    return [samples[i] for i in rng.choice(n, min(TRAINING_WINDOWS, n * 7 // 10), replace=False)] if n > 200 else samples
 
 
 def different(texts: list[str]) -> list[str]:
@@ -116,92 +97,75 @@ def different(texts: list[str]) -> list[str]:
 
 
 class Model:
-    """The two compressors, the strings that make a window worth compressing, and the logistic fit."""
+    """The pairs of dictionaries, what ordinary windows reach, and the logistic fit."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         self.ok = bool(toxic and ordinary)
         if not self.ok:
             return
         toxic, ordinary = different(toxic), different(ordinary)
-        bad, good = normal(toxic), normal(ordinary)
-        marked = telling(bad, good)
-        plain = trained([w for t in good for w in windows(t)], ORDINARY_BYTES)
-        whole, begun = {t[1:-1] for t in marked if t[-1] == " "}, tuple(t[1:] for t in marked if t[-1] != " ")
-        said = lambda w: f" {w} " if w in whole else next((f" {p}" for p in begun if w.startswith(p)), "")
-        rest = [r.encode() for t in bad if (r := "".join(said(w) for w in t))]
-        spelled = "".join(reversed(marked)).encode()[-TOXIC_BYTES // 2 :]
-        self.toxic = (trained(rest, min(TOXIC_BYTES // 2, max(512, len(spelled)))) if rest else b"") + spelled
-        self.plain = plain
-        self.weights, self.center, self.spread = np.zeros(4), np.zeros(4), np.ones(4)
-        x = np.concatenate([self.features(part) for part in (*runs(toxic), *runs(ordinary))])
-        self._fit(x, np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
+        bad, good = ([w for t in normal(texts) for w in windows(t)] for texts in (toxic, ordinary))
+        self.ok = bool(bad and good)
+        if not self.ok:
+            return
+        rng = np.random.default_rng(7)
+        self.pairs = [(trained(drawn(good, rng)), trained(drawn(bad, rng))) for _ in range(PAIRS)]
+        del bad, good
+        self.usual = 0.0
+        parts = [self.distances(part) for part in (*runs(toxic), *runs(ordinary))]
+        own = np.concatenate([np.full(int(o[-1]), k < len(list(runs(toxic)))) for k, (_, o) in enumerate(parts)])
+        self.usual = float(np.quantile(np.concatenate([d for d, _ in parts])[~own], ORDINARY_SHARE)) if not own.all() else 0.0
+        self._fit(np.concatenate([self.summary(*x) for x in parts]), np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_with", "_without", "_grams", "_mark", "_lead")}
+        return {k: v for k, v in self.__dict__.items() if k != "_ready"}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+    def compressors(self) -> list[tuple]:
+        """The compress functions of each pair; made once in each process."""
+        if not hasattr(self, "_ready"):
+            p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+            self._ready = [tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=p).compress for d in pair) for pair in self.pairs]
+        return self._ready
 
-    def _ready(self) -> None:
-        if hasattr(self, "_with"):
-            return
-        p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=GRAM, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self._with, self._without = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p) for d in (self.plain + self.toxic, self.plain))
-        self._lead = self.plain[-LEAD_BYTES:] + b" "
-        held = {g for i in range(len(self.toxic)) if len(g := self.toxic[i : i + GRAM]) == GRAM} - {self.plain[i : i + GRAM] for i in range(len(self.plain))}
-        self._grams = np.array(sorted(int.from_bytes(g, "little") for g in held), np.uint32)
-        self._mark = np.zeros(1 << 16, bool)
-        self._mark[self._grams * np.uint32(2654435761) >> np.uint32(16)] = True
-
-    def suspicious(self, values: pa.Array) -> np.ndarray:
-        """Whether a word, with a space on either side, holds a string that only the toxic dictionary has."""
-        out = np.zeros(len(values), bool)
-        data, offsets = K.bytes_view(values)
-        if not len(self._grams) or not len(values):
-            return out
-        n = np.diff(offsets)
-        spaced = np.full(len(data) + 2 * len(n) + GRAM, 32, np.uint8)
-        spaced[np.arange(len(data)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = data
-        grams = np.lib.stride_tricks.as_strided(spaced, (len(spaced) - GRAM + 1, GRAM), (1, 1)).copy().view("<u4").ravel()
-        at = np.flatnonzero(self._mark[grams * np.uint32(2654435761) >> np.uint32(16)])
-        at = at[np.isin(grams[at], self._grams)]
-        word = np.searchsorted(offsets[1:] + 2 * np.arange(1, len(n) + 1), at, "right")
-        inside = (word < len(n)) & (at + GRAM <= (offsets[1:] + 2 * np.arange(1, len(n) + 1))[np.minimum(word, len(n) - 1)])
-        out[word[inside]] = True
-        return out
-
-    def features(self, text: pa.Array) -> np.ndarray:
-        """For each text: bytes saved in its best window, in its best three, in all, and all per log of its windows."""
-        self._ready()
+    def distances(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The distance of every window, and the offsets of the texts' windows."""
         w = K.words(text)
-        out = np.zeros((len(text), 4))
         if not len(w.codes):
-            return out
+            return np.zeros(0), np.zeros(len(text) + 1, np.int64)
         coded = forms(w.vocab).dictionary_encode()
         values = coded.dictionary.cast(pa.large_binary()).to_pylist()
         form = coded.indices.to_numpy(zero_copy_only=False)[w.codes]
         some = np.array([bool(v) for v in values])[form]
         form, offsets = form[some], K.keep_where(some, w.offsets)
-        row = np.repeat(np.arange(len(text)), np.diff(offsets))
-        inside = np.arange(len(form)) - offsets[row]
-        hit = np.flatnonzero(self.suspicious(coded.dictionary)[form])
-        start = np.unique(hit - inside[hit] % WINDOW)
-        end = np.minimum(start + WINDOW, offsets[row[start] + 1])
-        saved = np.zeros(len(start))
-        plain, toxic = self._without.compress, self._with.compress
-        for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-            s = self._lead + b" ".join([values[i] for i in form[a:b]]) + b" "
-            saved[k] = len(plain(s)) - len(toxic(s))
-        saved = np.maximum(saved, 0)
-        of = row[start]
-        order = np.lexsort((-saved, of))
-        first = np.searchsorted(of[order], of[order])
-        rank = np.arange(len(order)) - first
-        for limit, column in ((1, 0), (3, 1), (1 << 60, 2)):
-            np.add.at(out[:, column], of[order][rank < limit], saved[order][rank < limit])
-        out[:, 3] = out[:, 2] / np.log(2 + np.diff(offsets) / WINDOW)
+        n = -(-np.diff(offsets) // WINDOW)
+        ends = np.r_[0, np.cumsum(n)]
+        start = np.repeat(offsets[:-1] - WINDOW * ends[:-1], n) + WINDOW * np.arange(int(ends[-1]))
+        stop = np.minimum(start + WINDOW, np.repeat(offsets[1:], n))
+        total = np.zeros(len(start))
+        for a in range(0, len(start), 1 << 16):
+            part = [b" %b " % b" ".join([values[i] for i in form[x:y].tolist()]) for x, y in zip(start[a : a + (1 << 16)].tolist(), stop[a : a + (1 << 16)].tolist(), strict=True)]
+            each = np.stack([np.fromiter((len(plain(s)) - len(toxic(s)) for s in part), np.int64, len(part)) for plain, toxic in self.compressors()])
+            total[a : a + (1 << 16)] = np.minimum(each, MOST).mean(0) + each.min(0)
+        return total, ends
+
+    def summary(self, distance: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text: its largest distance, the sum of its three largest, of all that is unusual, and that per log of its windows."""
+        n = np.diff(offsets)
+        out = np.zeros((len(n), 4))
+        if not len(distance):
+            return out
+        of = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((-distance, of))
+        rank = np.arange(len(order)) - offsets[of]
+        for limit, column in ((1, 0), (3, 1)):
+            np.add.at(out[:, column], of[rank < limit], distance[order][rank < limit] if limit == 1 else np.maximum(distance[order][rank < limit], 0))
+        out[:, 2] = np.bincount(of, np.maximum(distance - self.usual, 0), len(n))
+        out[:, 3] = out[:, 2] / np.log(2 + n)
         return out
 
+    def features(self, text: pa.Array) -> np.ndarray:
+        return self.summary(*self.distances(text))
+
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton steps, with a small ridge; toxic texts weigh ``TOXIC_SHARE`` in all."""
         self.center, self.spread = x.mean(0), x.std(0) + 1e-9

@@ -3,8 +3,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from tessella.llm import decontaminate, simhash_dedup, textkit
+from tessella.llm import decontaminate, near_groups, textkit
 
 
 def low(t):
@@ -50,18 +51,19 @@ def test_near_copies_of_every_edit_are_found(spark):
             pairs.append((kind, 2 * k, 2 * k + 1))
             rows += [(2 * k, t), (2 * k + 1, copy)]
     assert min(sum(p[0] == kind for p in pairs) for kind in ("truncated", "extended", "block", "scattered")) >= 30
-    kept = {r["doc_id"] for r in simhash_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    kept = {r["doc_id"] for r in near_groups.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
     missed = {kind: sum(b in kept for k, _, b in pairs if k == kind) for kind in {p[0] for p in pairs}}
     assert not any(missed.values()), missed
     assert {a for _, a, _ in pairs} <= kept
 
 
-def test_rows_joined_to_an_equal_fingerprint_keep_their_links():
-    fp = np.array([5, 5, 7], np.uint64)
-    sketch = np.tile(np.arange(1, 101, dtype=np.uint8), (3, 1))
-    sketch[1, :8] = 200  # 0.92 like the first row
-    sketch[2, :16] = 200  # 0.92 like the second, 0.84 like the first
-    assert simhash_dedup.shard_links(fp, np.zeros(3, int), np.full(3, 2), 4, sketch, 0.9, 0.7, []).tolist() == [0, 0, 0]
+def test_rows_of_an_equal_fingerprint_keep_their_links():
+    words = [f"w{i}" for i in range(104)]
+    other = [*words[:100], *[f"x{i}" for i in range(4)]]  # 0.92 like the first
+    third = [*[f"y{i}" for i in range(7)], *words[7:100], *[f"x{i}" for i in range(4)]]  # 0.87 like the second, 0.79 like the first
+    h, offsets = near_groups.shingle_sets(pa.array([" ".join(t) for t in (words, other, third)]))
+    assert near_groups.decide(np.zeros(3, int), np.array([5, 5, 7], np.uint64), h, offsets, np.arange(3)).tolist() == [0, 0, 0]
+    assert near_groups.decide(np.zeros(2, int), np.array([5, 7], np.uint64), np.r_[h[: offsets[1]], h[offsets[2] :]], np.r_[0, offsets[1], offsets[1] + offsets[3] - offsets[2]], np.arange(2)).tolist() == [0, 1]
 
 
 def test_decontamination_judges_rows_and_items_without_ids(spark):
