@@ -5,8 +5,9 @@ windows of toxic texts and one on windows of ordinary texts, each on a share of
 generator and of ``DICTIONARY_BYTES``. Every window of a text is compressed with every dictionary; a pair's
 difference is the length with the ordinary minus the length with the toxic dictionary. A window's distance is the mean
 difference, none counted above ``MOST``, plus the least one, so that what only one pair happens to hold counts little.
-The text's largest distance, its three largest and what its windows exceed ordinary ones by are its features; a
-logistic fit, calibrated on the training rows, turns them into a score. No window is skipped.
+What a text's windows exceed ordinary ones by gives its features: the most, the three most, all, and all by the number
+of windows. A logistic fit, calibrated on the training rows, turns them into a score. Every window is compressed;
+further pairs are left out only where no outcome of theirs could lift the window above ordinary ones.
 
 Fitting reads a bounded sample: about ``SAMPLE_DOCS`` labelled texts of each label and ``SAMPLE_BYTES``, by hash of
 doc_id, without repeated texts. Scoring covers whole texts of all rows.
@@ -33,9 +34,9 @@ WINDOW, PAIRS, DICTIONARY_BYTES, THRESHOLD = 4, 4, 65536, 0.7
 #: Windows that a dictionary is trained on at most, and the segment and d-mer size of its training.
 TRAINING_WINDOWS, SEGMENT, DMER = 60_000, 32, 6
 #: Bytes that the difference of one pair counts at most.
-MOST = 5
+MOST = 3
 #: Distance that this share of ordinary windows stays below; what exceeds it counts.
-ORDINARY_SHARE = 0.995
+ORDINARY_SHARE = 0.998
 #: Weight of all toxic texts together in the logistic fit.
 TOXIC_SHARE = 0.4
 
@@ -62,12 +63,12 @@ def normal(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+def trained(samples: list[bytes]) -> bytes:
     """A trained dictionary; of too few samples, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=DMER).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[:size]
+        return b"".join(dict.fromkeys(samples))[:DICTIONARY_BYTES]
 
 
 def windows(words: list[str]) -> list[bytes]:
@@ -111,7 +112,7 @@ class Model:
         rng = np.random.default_rng(7)
         self.pairs = [(trained(drawn(good, rng)), trained(drawn(bad, rng))) for _ in range(PAIRS)]
         del bad, good
-        self.usual = 0.0
+        self.usual: float | None = None
         parts = [self.distances(part) for part in (*runs(toxic), *runs(ordinary))]
         own = np.concatenate([np.full(int(o[-1]), k < len(list(runs(toxic)))) for k, (_, o) in enumerate(parts)])
         self.usual = float(np.quantile(np.concatenate([d for d, _ in parts])[~own], ORDINARY_SHARE)) if not own.all() else 0.0
@@ -123,7 +124,7 @@ class Model:
     def compressors(self) -> list[tuple]:
         """The compress functions of each pair; made once in each process."""
         if not hasattr(self, "_ready"):
-            p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+            p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=17, search_log=3, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
             self._ready = [tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=p).compress for d in pair) for pair in self.pairs]
         return self._ready
 
@@ -144,22 +145,39 @@ class Model:
         total = np.zeros(len(start))
         for a in range(0, len(start), 1 << 16):
             part = [b" %b " % b" ".join([values[i] for i in form[x:y].tolist()]) for x, y in zip(start[a : a + (1 << 16)].tolist(), stop[a : a + (1 << 16)].tolist(), strict=True)]
-            each = np.stack([np.fromiter((len(plain(s)) - len(toxic(s)) for s in part), np.int64, len(part)) for plain, toxic in self.compressors()])
-            total[a : a + (1 << 16)] = np.minimum(each, MOST).mean(0) + each.min(0)
+            total[a : a + (1 << 16)] = self._beyond(part) if self.usual is not None else self._each(part)
         return total, ends
 
+    def _each(self, part: list[bytes]) -> np.ndarray:
+        each = np.stack([np.fromiter((len(plain(s)) - len(toxic(s)) for s in part), np.int64, len(part)) for plain, toxic in self.compressors()])
+        return np.minimum(each, MOST).mean(0) + each.min(0)
+
+    def _beyond(self, part: list[bytes]) -> np.ndarray:
+        """The distances, or ``usual`` where pairs so far leave no way above it: the others add MOST to the mean at most."""
+        n = len(self.pairs)
+        capped, least = np.zeros(len(part)), np.full(len(part), np.inf)
+        live = np.arange(len(part))
+        for k, (plain, toxic) in enumerate(self.compressors(), 1):
+            each = np.fromiter((len(plain(s)) - len(toxic(s)) for s in map(part.__getitem__, live.tolist())), np.int64, len(live))
+            capped[live] += np.minimum(each, MOST)
+            least[live] = np.minimum(least[live], each)
+            live = live[(capped[live] + MOST * (n - k)) / n + least[live] > self.usual]
+        out = np.full(len(part), self.usual)
+        out[live] = capped[live] / n + least[live]
+        return out
+
     def summary(self, distance: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text: its largest distance, the sum of its three largest, of all that is unusual, and that per log of its windows."""
+        """For each text, of what its windows exceed ``usual`` by: the most, the sum of the three most, of all, and that per log of its windows."""
         n = np.diff(offsets)
         out = np.zeros((len(n), 4))
-        if not len(distance):
-            return out
-        of = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((-distance, of))
-        rank = np.arange(len(order)) - offsets[of]
-        for limit, column in ((1, 0), (3, 1)):
-            np.add.at(out[:, column], of[rank < limit], distance[order][rank < limit] if limit == 1 else np.maximum(distance[order][rank < limit], 0))
-        out[:, 2] = np.bincount(of, np.maximum(distance - self.usual, 0), len(n))
+        over = np.maximum(distance - self.usual, 0)
+        at = np.flatnonzero(over)
+        of = np.searchsorted(offsets, at, "right") - 1
+        order = np.lexsort((-over[at], of))
+        of, over = of[order], over[at][order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        for limit, column in ((1, 0), (3, 1), (1 << 60, 2)):
+            np.add.at(out[:, column], of[rank < limit], over[rank < limit])
         out[:, 3] = out[:, 2] / np.log(2 + n)
         return out
 
@@ -171,11 +189,18 @@ class Model:
         self.center, self.spread = x.mean(0), x.std(0) + 1e-9
         z = np.c_[(x - self.center) / self.spread, np.ones(len(x))]
         share = np.where(y == 1, TOXIC_SHARE / max(y.sum(), 1), (1 - TOXIC_SHARE) / max((1 - y).sum(), 1)) * len(y)
+        ridge = 1e-3 * len(y)
         b = np.zeros(z.shape[1])
-        for _ in range(30):
+        loss = lambda b: (share * np.logaddexp(0, np.where(y == 1, -1, 1) * (z @ b))).sum() + ridge / 2 * (b[:-1] ** 2).sum()
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            h = (z * (share * p * (1 - p))[:, None]).T @ z + 0.01 * len(y) * 0.01 * np.eye(len(b))
-            b = b + np.linalg.solve(h, z.T @ (share * (y - p)) - 0.01 * len(y) * 0.01 * b)
+            penalty = np.r_[np.full(len(b) - 1, ridge), 1e-9]
+            step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), z.T @ (share * (y - p)) - penalty * b)
+            while loss(b + step) > loss(b) + 1e-9 and np.abs(step).max() > 1e-9:
+                step = step / 2
+            b = b + step
+            if np.abs(step).max() < 1e-7:
+                break
         self.weights = b
 
     def score(self, text: pa.Array) -> np.ndarray:

@@ -114,6 +114,24 @@ def test_hot_shards_keep_their_links(spark):
     assert set(comps.values()) == {0} and len(comps) == 199
 
 
+def test_string_dimensions_are_cut_by_whole_values(spark):
+    d = spark.createDataFrame([(f"https://a.example/long/common/prefix/{i % 40:03d}",) for i in range(400)] + [(None,)], "d_u string")
+    cuts = hilbert_shards.cut_points(d, ["d_u"], 2)["d_u"]
+    assert [c[-3:] for c in cuts] == ["009", "019", "029"]
+    got = d.select("d_u", hilbert_shards.quantised(F.col("d_u"), cuts).alias("q")).distinct().collect()
+    assert sorted(r["q"] for r in got) == [0] * 11 + [1] * 10 + [2] * 10 + [3] * 10
+
+
+def test_shards_slots_and_law(spark, tables):
+    got = QUERIES["op8_hilbert_shards"](spark, tables["odd"]).toPandas()
+    texts = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in [*TEXTS, TEXTS[3]])
+    assert sorted(zip(got["size"], got.text_crc32, strict=True)) == texts
+    held = got.groupby("shard").slot.apply(sorted)
+    assert all(s == list(range(len(s))) for s in held) and max(map(len, held)) - min([*map(len, held), *([0] if len(held) < 16 else [])]) <= 1
+    assert set(got["law"]) == {"rows"} and got.grown_shard.isna().all() and set(got.shard) <= set(range(16))
+    assert got.sort_values(["shard", "slot"]).curve.is_monotonic_increasing
+
+
 def test_hilbert_curve_is_continuous(spark):
     g = spark.range(512).select(*[F.expr(f"cast(id div {8**i} % 8 as int)").alias(f"x{i}") for i in range(3)])
     h = g.withColumn("h", hilbert_shards.hilbert_index([F.col("x0"), F.col("x1"), F.col("x2")], 3)).toPandas().sort_values("h")
@@ -197,9 +215,8 @@ def test_toxicity_features_are_those_of_every_window():
             s = b" " + " ".join(words[a : a + 4]).encode() + b" "
             each = [len(plain(s)) - len(bad(s)) for plain, bad in model.compressors()]
             d.append(np.mean([min(x, toxicity_zstd.MOST) for x in each]) + min(each))
-        top = sorted(d, reverse=True)
-        over = sum(max(x - model.usual, 0) for x in d)
-        assert np.allclose(row, [top[0], sum(max(x, 0) for x in top[:3]), over, over / np.log(2 + len(d))] if d else np.zeros(4))
+        over = sorted((max(x - model.usual, 0) for x in d), reverse=True)
+        assert np.allclose(row, [over[0], sum(over[:3]), sum(over), sum(over) / np.log(2 + len(d))] if d else np.zeros(4))
     score = model.score(pa.array(texts, pa.large_string()))
     assert score[0] > 0.7 > score[1] and ((score >= 0) & (score <= 1)).all()
 
