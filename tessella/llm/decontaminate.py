@@ -7,7 +7,8 @@ In a document, windows of L words are fingerprinted alike. Multi-index Hamming b
 and item share over the item's weight, at least ``SIMILARITY``. Windows without a shingle of
 any item have similarity zero and are not fingerprinted; that loses nothing.
 
-The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, each sent to the workers once, whatever its size.
+The benchmark is taken in blocks of ``BLOCK_ITEMS`` items, each sent to the workers once, whatever its size; one scan
+of the documents serves ``SCAN_BLOCKS`` blocks, so a text is read and split into words once for 80000 items.
 Items of fewer than five words are one shingle of all their words; items without words match nothing;
 items without an id are searched like others and reported with a null item_id.
 Null texts are empty; rows that repeat are reported each; equal scores take the earliest window; empty
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from . import textkit as K
 from .simhash_dedup import majority
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS, BLOCK_ITEMS = 5, 0.8, 22, 7, 5000
+#: Blocks of items that one scan of the documents looks for.
+SCAN_BLOCKS = 16
 EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 
 
@@ -188,34 +191,42 @@ def blocks_of(spark: SparkSession, benchmark: DataFrame, block_items: int) -> It
         yield spark.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
 
 
+def scans_of(spark: SparkSession, benchmark: DataFrame, block_items: int) -> Iterator[list[Broadcast]]:
+    """The blocks, SCAN_BLOCKS at a time."""
+    blocks = blocks_of(spark, benchmark, block_items)
+    while held := list(islice(blocks, SCAN_BLOCKS)):
+        yield held
+
+
 def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The best window of each document and benchmark item whose similarity reaches SIMILARITY."""
     source = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def scan(items: Broadcast) -> DataFrame:
+    def scan(blocks: list[Broadcast]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in K.slices(batches):
-                row, *rest = matches_of(K.words(b.column("text"), lower=True), items.value)
+            for b, words, items in ((b, w, i) for b in K.slices(batches) for w in [K.words(b.column("text"), lower=True)] for i in blocks):
+                row, *rest = matches_of(words, items.value)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *[x if isinstance(x, pa.Array) else pa.array(x) for x in rest]], names=SCHEMA.replace(",", "").split()[::2])
 
         return source.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.union, map(scan, blocks_of(docs.sparkSession, benchmark, block_items)))
+    return reduce(DataFrame.union, map(scan, scans_of(docs.sparkSession, benchmark, block_items)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows without a match, in all their columns; each row is judged by its own text, whatever its doc_id."""
 
-    def scan(rows: DataFrame, items: Broadcast) -> DataFrame:
+    def scan(rows: DataFrame, blocks: list[Broadcast]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in K.slices(batches):
-                keep = np.ones(b.num_rows, bool)
-                keep[matches_of(K.words(b.column("text"), lower=True), items.value)[0]] = False
+                keep, words = np.ones(b.num_rows, bool), K.words(b.column("text"), lower=True)
+                for items in blocks:
+                    keep[matches_of(words, items.value)[0]] = False
                 yield b.filter(pa.array(keep))
 
         return rows.mapInArrow(run, docs.schema)
 
-    return reduce(scan, blocks_of(docs.sparkSession, benchmark, block_items), docs)
+    return reduce(scan, scans_of(docs.sparkSession, benchmark, block_items), docs)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
