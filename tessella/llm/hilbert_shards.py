@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, with DataFrame operations only.
 
-Several metadata columns are quantised to ``bits`` bits each by approximate quantiles (strings by their first
-six bytes, so order is kept), the cells are numbered along a Hilbert curve, rows are range-sorted by that
+Several metadata columns are quantised to ``bits`` bits each: numbers by approximate quantiles, strings by exact ones
+of whole values (counted by value, range-sorted and summed up). The cells are numbered along a Hilbert curve, rows are range-sorted by that
 number and cut into runs. Rows near in all dimensions share a shard, so minimum and maximum of each
 dimension in the shard's files prune many of them.
 
@@ -20,19 +20,19 @@ from . import textkit as K
 
 
 def ordered_number(df: DataFrame, name: str) -> Column:
-    """A double in the order of the column; of a string, its first six bytes."""
+    """A double in the order of the column; a string as it is."""
     kind = dict(df.dtypes)[name]
     c = F.col(f"`{name}`")
     if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return c
     if kind in ("date", "timestamp"):
         return F.unix_micros(c.cast("timestamp")).cast("double")
     return c.cast("double")
 
 
-def quantised(value: Column, cuts: list[float]) -> Column:
+def quantised(value: Column, cuts: list) -> Column:
     """How many cut points lie below the value; null gives 0."""
-    below = F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < value) if cuts else F.array()
+    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value) if cuts else F.array()
     return F.when(value.isNull(), 0).otherwise(F.size(below))
 
 
@@ -68,11 +68,26 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     )
 
 
-def cut_points(df: DataFrame, names: list[str], bits: int) -> dict[str, list[float]]:
-    """Approximate quantiles of each dimension; the sketches are of bounded size."""
+def string_cuts(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Exact quantiles of a string column: at most 2 ** bits - 1 values, whatever their length or number."""
+    kinds = df.select(F.col(f"`{name}`").alias("v")).where("v IS NOT NULL").groupBy("v").count()
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = K.stored(kinds.repartitionByRange(partitions, "v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()).withColumn("run", F.shiftright("at", 33)))
+    runs = placed.groupBy("run").agg(F.sum("count").alias("held"))  # a row for each partition
+    before = runs.select("run", F.coalesce(F.sum("held").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy(F.lit(0))).alias("n"))
+    upto = F.sum("count").over(Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    summed = placed.withColumn("upto", upto).join(F.broadcast(before), "run").withColumn("upto", F.col("upto") + F.col("before"))
+    crosses = F.expr(f"upto * {1 << bits} div n > (upto - count) * {1 << bits} div n AND upto < n")
+    return sorted(r[0] for r in summed.where(crosses).select("v").collect())
+
+
+def cut_points(df: DataFrame, names: list[str], bits: int) -> dict[str, list]:
+    """Quantiles of each dimension: approximate ones of numbers, by sketches of bounded size; exact ones of strings."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(F.col(f"`{n}`"), shares, 2000).alias(n) for n in names]).first()
-    return {n: sorted(set(found[n] or [])) for n in names}
+    texts = {n for n, kind in df.dtypes if kind == "string"}
+    numbers = [n for n in names if n not in texts]
+    found = df.agg(*[F.percentile_approx(F.col(f"`{n}`"), shares, 2000).alias(n) for n in numbers]).first() if numbers else {}
+    return {n: string_cuts(df, n, bits) if n in texts else sorted(set(found[n] or [])) for n in names}
 
 
 def shards(docs: DataFrame, count: int = 16, dimensions: tuple[str, ...] = ("lang", "source", "size"), bits: int = 4) -> DataFrame:
