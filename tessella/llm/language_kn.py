@@ -6,8 +6,8 @@ of discounted probabilities for each language; contexts likewise, with their int
 language with the lowest cross-entropy per symbol wins; equal ones take the first in alphabetical order.
 
 Models are fitted on a bounded sample: about ``SAMPLE_DOCS`` whole documents and ``SAMPLE_BYTES`` of each
-language, by hash of doc_id. A fifth of it stays out of the counts and calibrates the score (a softmax whose
-temperature minimises the log loss) and the rejection (``accepted`` is false where the cross-entropy exceeds all
+language, by hash of doc_id. A fifth of it stays out of the counts and calibrates the score (a softmax over
+entropy times the root of the number of symbols, whose temperature minimises the log loss) and the rejection (``accepted`` is false where the cross-entropy exceeds all
 but ``1 - ACCEPT`` of the language's own). Prediction reads whole texts of all rows.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if there is no training row.
@@ -171,7 +171,7 @@ class Models:
         return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
 
     def confidence(self, entropy: np.ndarray, n: np.ndarray, heat: float | None = None) -> np.ndarray:
-        x = -(self.heat if heat is None else heat) * entropy * np.minimum(n, 200)[:, None]
+        x = -(self.heat if heat is None else heat) * entropy * np.sqrt(n)[:, None]
         x = np.exp(x - x.max(1, keepdims=True))
         return x / x.sum(1, keepdims=True)
 
@@ -187,7 +187,7 @@ class Models:
                 label.append(np.full(len(m), j))
         if label:
             e, m, y = np.concatenate(entropy), np.concatenate(n), np.concatenate(label)
-            grid = [2.0**i for i in range(-10, 2)]
+            grid = [2.0**i for i in range(-10, 6)]
             loss = [-np.log(np.maximum(self.confidence(e, m, t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
             self.heat = grid[int(np.argmin(loss))]
 

@@ -41,7 +41,12 @@ class Batch:
         return self._made[name]
 
     def take(self, rows: np.ndarray) -> Batch:
-        return Batch(self.text.take(pa.array(rows)))
+        out = Batch(self.text.take(pa.array(rows)))
+        if "words" in self._made:  # split once, whatever rules follow
+            n, first = self.words.counts[rows], self.words.offsets[:-1][rows]
+            ends = np.r_[0, np.cumsum(n)]
+            out._made["words"] = K.Words(self.words.codes[np.repeat(first - ends[:-1], n) + np.arange(int(ends[-1]))], self.words.vocab, ends)
+        return out
 
     @property
     def words(self) -> K.Words:

@@ -213,12 +213,15 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         with contextlib.suppress(Exception):
             named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
