@@ -122,10 +122,11 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_ready"}
 
     def compressors(self) -> list[tuple]:
-        """The compress functions of each pair; made once in each process."""
+        """The compress functions of each pair; made once in each process. The first, which sees every window, searches less."""
         if not hasattr(self, "_ready"):
-            p = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=17, search_log=3, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
-            self._ready = [tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=p).compress for d in pair) for pair in self.pairs]
+            make = lambda **how: zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=17, min_match=4, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0, **how)
+            quick, best = make(strategy=zstandard.STRATEGY_BTLAZY2, search_log=4), make(strategy=zstandard.STRATEGY_BTOPT, search_log=3)
+            self._ready = [tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=best if k else quick).compress for d in pair) for k, pair in enumerate(self.pairs)]
         return self._ready
 
     def distances(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
