@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import alignment, annotation, signals
+from tessella.plans import alignment, annotation, documents, signals
 
-QUERIES = {**signals.QUERIES, **annotation.QUERIES, **alignment.QUERIES}
-ORACLE_SQL = {**signals.SQL, **annotation.SQL, **alignment.SQL}
+QUERIES = {**signals.QUERIES, **annotation.QUERIES, **alignment.QUERIES, **documents.QUERIES}
+ORACLE_SQL = {**signals.SQL, **annotation.SQL, **alignment.SQL, **documents.SQL}
