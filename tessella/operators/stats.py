@@ -110,16 +110,31 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def surrogate_information(df: DataFrame, a: str, b: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Mutual information of (a, shuffled b) for each round; the shuffle is a rank by a seeded hash."""
-    held = df.select(a, b, F.xxhash64(F.lit(seed), *df.columns).alias("__id"))
-    numbered = held.withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__id")))
-    many = numbered.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    mixed = many.withColumn("__j", F.row_number().over(Window.partitionBy("round").orderBy(F.xxhash64(F.lit(seed), "round", "__i"), "__i")))
-    pairs = mixed.select("round", "__i", a).join(mixed.select("round", F.col("__j").alias("__i"), b), ["round", "__i"])
-    counts = pairs.groupBy("round", a, b).agg(F.count("*").cast("double").alias("c"))
-    w = lambda *c: Window.partitionBy("round", *c)
-    t = counts.withColumn("ca", F.sum("c").over(w(a))).withColumn("cb", F.sum("c").over(w(b))).withColumn("t", F.sum("c").over(w()))
-    return t.groupBy("round").agg(F.sum(F.col("c") / F.col("t") * F.log(F.col("c") * F.col("t") / (F.col("ca") * F.col("cb")))).alias("mi"))
+    """(round, mi): mutual information of a with b after random permutations of b.
+
+    A permutation of rows is a contingency table drawn with the same margins (multivariate hypergeometric, row by row),
+    so only the margins, whose size is the number of bins, leave the cluster's partial sums.
+    """
+    import numpy as np
+    import pandas as pd
+
+    margins = [[int(r["count"]) for r in df.groupBy(c).count().orderBy(c).collect()] for c in (a, b)]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in batch["id"]:
+                rng, left, mi = np.random.default_rng([seed, int(k)]), np.array(margins[1]), 0.0
+                share, n = left / max(left.sum(), 1), max(left.sum(), 1)
+                for total in margins[0]:
+                    row = rng.multivariate_hypergeometric(left, total)
+                    left = left - row
+                    some = row > 0
+                    mi += float((row[some] / n * np.log(row[some] / (total * share[some]))).sum())
+                out.append((int(k), mi))
+            yield pd.DataFrame(out, columns=["round", "mi"])
+
+    return df.sparkSession.range(rounds).mapInPandas(run, "round long, mi double")
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:

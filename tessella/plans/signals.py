@@ -81,13 +81,20 @@ def sliding(spark, sf):
     return wins.groupBy("vid", "win").agg(F.when(F.count("*") > 0.3 * size, r4(stats.pearson("m_view", "m_click"))).alias("r"), F.count("*").alias("n"))
 
 
-TUMBLE_SQL = "act AS (SELECT vid, frame // 24 AS win, avg(n) AS rms, avg(m_view) AS motion FROM grid GROUP BY vid, win HAVING avg(cut::INT) <= 0.9 AND avg((m_view IS NULL)::INT) <= 0.9)"
+TUMBLE_SQL = """rare AS (SELECT vid, frame, count(*)::DOUBLE AS k, avg(value) AS m, count(*) FILTER (event_type = 'error' AND CAST(round(value * 100) AS BIGINT) % 20 = 0) AS hits FROM inside GROUP BY vid, frame),
+steady AS (SELECT vid, frame, coalesce(k, 0) AS n, m, coalesce(max(hits) OVER (PARTITION BY vid ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 0) > 0 AS cut FROM dense LEFT JOIN rare USING (vid, frame)),
+act AS (SELECT vid, frame // 24 AS win, avg(n) AS rms, avg(m) AS motion FROM steady WHERE frame < 696 GROUP BY vid, win HAVING avg(cut::INT) <= 0.3 AND avg((m IS NULL)::INT) <= 0.5)"""
 
 
 def activity(spark, sf):
-    g = V.grid(spark, sf).groupBy("vid", F.floor(F.col("frame") / 24).cast("int").alias("win"))
-    t = g.agg(F.avg("n").alias("rms"), F.avg("m_view").alias("motion"), F.avg(F.col("cut").cast("int")).alias("c"), F.avg(F.col("m_view").isNull().cast("int")).alias("m"))
-    return t.where("c <= 0.9 AND m <= 0.9").select("vid", "win", "rms", "motion")
+    """Windows of 24 hours, without the one that ends with the recording: cut in 30 % at most, motion missing in half at most."""
+    b = V.base(spark, sf)
+    hits = b.where("event_type = 'error' AND cast(round(value * 100) AS bigint) % 20 = 0").select("vid", "frame")
+    cut = grid.band_mask(hits, "vid", 1, V.FRAMES).withColumn("cut", F.lit(1))
+    held = b.groupBy("vid", "frame").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"))
+    g = grid.dense(b, "vid", V.FRAMES).join(held, ["vid", "frame"], "left").join(cut, ["vid", "frame"], "left").where(F.col("frame") < V.FRAMES - 24)
+    t = g.groupBy("vid", F.floor(F.col("frame") / 24).cast("int").alias("win")).agg(F.avg(F.coalesce("n", F.lit(0.0))).alias("rms"), F.avg("m").alias("motion"), F.avg(F.coalesce("cut", F.lit(0))).alias("c"), F.avg(F.col("m").isNull().cast("int")).alias("missing"))
+    return t.where("c <= 0.3 AND missing <= 0.5").select("vid", "win", "rms", "motion")
 
 
 @query("q_tumbling_activity", "SELECT vid, win, round(rms + 1e-9, 4) AS rms, round(motion + 1e-9, 4) AS motion FROM act", V.GRID_SQL, TUMBLE_SQL)
@@ -245,12 +252,12 @@ def eta(spark, sf):
     return t.select("lag", r4(F.col("mean")).alias("mean"), r4(F.col("sem")).alias("sem"), "n")
 
 
-BINS_SQL = "edges AS (SELECT quantile_cont(m_view, 0.01) AS la, quantile_cont(m_view, 0.99) AS ha, quantile_cont(m_click, 0.01) AS lb, quantile_cont(m_click, 0.99) AS hb FROM grid WHERE m_view IS NOT NULL AND m_click IS NOT NULL), bins AS (SELECT CAST(least(greatest(floor((m_view - la) / (ha - la) * 10), 0), 9) AS INT) AS ba, CAST(least(greatest(floor((m_click - lb) / (hb - lb) * 10), 0), 9) AS INT) AS bb FROM grid, edges WHERE m_view IS NOT NULL AND m_click IS NOT NULL)"
+BINS_SQL = "edges AS (SELECT quantile_cont(m_view, 0.01) AS la, quantile_cont(m_view, 0.99) AS ha, quantile_cont(m_click, 0.01) AS lb, quantile_cont(m_click, 0.99) AS hb FROM grid WHERE m_view IS NOT NULL AND m_click IS NOT NULL), bins AS (SELECT CAST(least(greatest(floor((m_view - la) / (ha - la) * 20), 0), 19) AS INT) AS ba, CAST(least(greatest(floor((m_click - lb) / (hb - lb) * 20), 0), 19) AS INT) AS bb FROM grid, edges WHERE m_view IS NOT NULL AND m_click IS NOT NULL)"
 
 
 def binned(spark, sf):
     ok = V.grid(spark, sf).where(stats.valid_pair("m_view", "m_click"))
-    return stats.quantile_bins(stats.quantile_bins(ok, "m_view", 10, "ba"), "m_click", 10, "bb")
+    return stats.quantile_bins(stats.quantile_bins(ok, "m_view", 20, "ba"), "m_click", 20, "bb")
 
 
 @query("q_hist", "SELECT ba, bb, count(*) AS n FROM bins GROUP BY ba, bb", V.GRID_SQL, BINS_SQL)
@@ -266,7 +273,7 @@ def mi(spark, sf):
 @query("q_mi_surrogate")
 def mi_surrogate(spark, sf):
     b = binned(spark, sf).select("vid", "frame", "ba", "bb")
-    real, surr = stats.mutual_information(b, "ba", "bb"), stats.surrogate_information(b, "ba", "bb", 50)
+    real, surr = stats.mutual_information(b, "ba", "bb"), stats.surrogate_information(b, "ba", "bb")
     s = surr.crossJoin(F.broadcast(real.withColumnRenamed("mi", "real"))).groupBy("real").agg(F.avg("mi").alias("mean"), F.stddev_pop("mi").alias("sd"), F.avg((F.col("mi") >= F.col("real")).cast("int")).alias("p_value"))  # real: one row
     return s.withColumn("z", (F.col("real") - F.col("mean")) / (F.col("sd") + 1e-10))
 

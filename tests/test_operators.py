@@ -79,3 +79,25 @@ def test_streaming_activity(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM act").first()[0] == 1000
+
+
+def test_surrogates_are_those_of_permuted_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessella.operators import stats
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4, 300), rng.integers(0, 3, 300)
+
+    def information(a, b):
+        t = np.zeros((4, 3))
+        np.add.at(t, (a, b), 1 / len(a))
+        some = t > 0
+        return (t[some] * np.log((t / np.outer(t.sum(1), t.sum(0)))[some])).sum()
+
+    want = [information(a, rng.permutation(b)) for _ in range(2000)]
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a int, b int")
+    got = stats.surrogate_information(df, "a", "b", 2000).agg(F.count("*").alias("n"), F.avg("mi").alias("m"), F.stddev_pop("mi").alias("s"), F.percentile("mi", 0.95).alias("q")).first()
+    assert got["n"] == 2000
+    assert abs(got["m"] / np.mean(want) - 1) < 0.06 and abs(got["s"] / np.std(want) - 1) < 0.12 and abs(got["q"] / np.quantile(want, 0.95) - 1) < 0.1
