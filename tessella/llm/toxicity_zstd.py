@@ -36,7 +36,7 @@ TRAINING_WINDOWS, SEGMENT, DMER = 60_000, 32, 6
 #: Bytes that the difference of one pair counts at most.
 MOST = 3
 #: Distance that this share of ordinary windows stays below; what exceeds it counts.
-ORDINARY_SHARE = 0.998
+ORDINARY_SHARE = 0.997
 #: Weight of all toxic texts together in the logistic fit.
 TOXIC_SHARE = 0.4
 
