@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +38,6 @@ def features(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_
     source = docs.select(F.col("doc_id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in K.slices(batches):
             ids, offsets = encoder.value.encode(b.column("text"))
             raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
@@ -55,10 +53,10 @@ def features(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_
             if len(full):
                 near[full] = np.minimum.reduceat(K.mix(term), ends[full])
                 far[full] = np.minimum.reduceat(K.mix(term ^ np.uint64(0xA5A5A5A5A5A5A5A5)), ends[full])
-            short, many = (term >> np.uint64(32)).astype("<u4").tobytes(), n.astype("<u4")
+            short, many = (term >> np.uint64(32)).astype("<u4").tobytes(), n.astype("<u4").tobytes()
             cut = ends.tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(crcs, pa.list_(pa.int64())), pa.array(near.view(np.int64)), pa.array(far.view(np.int64)), pa.array([short[4 * a : 4 * z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([squeeze(many[a:z].tobytes()) for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(crcs, pa.list_(pa.int64())), pa.array(near.view(np.int64)), pa.array(far.view(np.int64)), pa.array([short[4 * a : 4 * z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([many[4 * a : 4 * z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
                 names=["doc_id", "doc_tokens", "crcs", "near", "far", "terms", "counts"],
             )
 
@@ -135,7 +133,6 @@ def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
-        expand = zstandard.ZstdDecompressor().decompress
         pool: list[tuple] = []
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -144,7 +141,7 @@ def retrieval_pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHAR
         def shard() -> pa.RecordBatch:
             nonlocal sequence
             lengths = np.array([p[2] for p in pool])
-            scores = bm25([np.frombuffer(p[5], "<u4") for p in pool], [np.frombuffer(expand(p[6]), "<u4") for p in pool])
+            scores = bm25([np.frombuffer(p[5], "<u4") for p in pool], [np.frombuffer(p[6], "<u4") for p in pool])
             rows = []
             for group in fill(lengths, scores, window):
                 offset = 0
