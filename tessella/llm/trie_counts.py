@@ -5,7 +5,8 @@ over ranks; nothing is trained), a byte outside all pieces costs ``FALLBACK``. A
 mark U+2581 before it. The distinct pre-tokens of a batch form a trie; for each node, so once for
 each shared prefix, the forward score is the best over pieces that end there of the score at
 the piece's start plus the piece's score. Equal scores take fewer tokens. Terminal nodes give the counts of
-their pre-tokens, and a text's count is the sum over its words.
+their pre-tokens, and a text's count is the sum over its words. Pre-tokens of more than ``LONG_WORD`` bytes, whose
+prefixes are seldom shared, take the same recurrence one by one, in time proportional to length times longest piece.
 
 Null and empty texts have 0 tokens; empty tables give empty results; rows that repeat are counted
 each; very long words are cut nowhere; extra columns are ignored.
@@ -29,6 +30,8 @@ FALLBACK = -20.0
 BASE = np.uint64(0x100000001B3)
 #: Words whose counts a Python worker keeps between batches.
 KEPT_WORDS = 200_000
+#: Bytes of a pre-token from which it is scored alone, and starts looked up at once there.
+LONG_WORD, STARTS = 128, 1 << 16
 
 
 def vocabulary(path: str | None = None) -> list[bytes]:
@@ -122,14 +125,45 @@ def forward(words: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return count, score
 
 
+def forward_long(word: bytes, pieces: Pieces) -> tuple[int, float]:
+    """Token count and score of one word: pieces are looked up for all starts of a block at once, length by length."""
+    data = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+    best, tokens = [-math.inf] * (len(word) + 1), [0] * (len(word) + 1)
+    best[0] = 0.0
+    for a in range(0, len(word), STARTS):
+        z = min(a + STARTS, len(word))
+        h, found = np.zeros(z - a, np.uint64), []
+        for n in range(1, min(pieces.longest, len(word) - a) + 1):
+            h = h[: min(z, len(word) - n + 1) - a] * BASE
+            h += data[a + n - 1 : a + n - 1 + len(h)]
+            s = pieces.scores(n, h)
+            if n == 1:
+                s = np.where(np.isneginf(s), FALLBACK, s)
+            at = np.flatnonzero(~np.isneginf(s))
+            found.append((at + a, at + a + n, s[at]))
+        start, end, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        for i, j, s in zip(start[order].tolist(), end[order].tolist(), score[order].tolist(), strict=True):
+            top, few = best[i] + s, tokens[i] + 1
+            if top > best[j] or (top == best[j] and few < tokens[j]):
+                best[j], tokens[j] = top, few
+    return tokens[-1], best[-1]
+
+
 def counts_of(vocab: pa.Array, pieces: Pieces, kept: dict[bytes, int]) -> np.ndarray:
     """Token counts of distinct words; known ones are looked up, the others go through the trie."""
     values = vocab.cast(pa.large_binary()).to_pylist()
     found = [kept.get(v) for v in values]
     new = [i for i, f in enumerate(found) if f is None]
-    if new:
-        for a in range(0, len(new), 1 << 16):
-            part = new[a : a + (1 << 16)]
+    short = []
+    for i in new:
+        if len(values[i]) + len(MARK) > LONG_WORD:
+            found[i] = forward_long(MARK + values[i], pieces)[0]
+        else:
+            short.append(i)
+    if short:
+        for a in range(0, len(short), 1 << 16):
+            part = short[a : a + (1 << 16)]
             count, _ = forward(pa.array([MARK + values[i] for i in part], pa.large_binary()), pieces)
             if len(kept) > KEPT_WORDS:
                 kept.clear()
