@@ -6,10 +6,12 @@ documents is deleted from the counts, and their tokens, as a histogram of quanti
 three estimates, train the weights. Final counts use all training documents.
 
 Texts are lower-cased (A-Z), split into words and ended with one end token; the first token's context is the end
-token. Chunks of documents send their distinct n-gram hashes (64 bits), as compressed sorted arrays, to hash
-buckets; buckets add them up over the corpus and return to each chunk just the counts it asked
-for. No task or driver holds a whole vocabulary: a bucket has about ``BUCKET_BYTES`` of text behind it. A chunk
-is named by its content, so a recomputed chunk meets its answers; a missing answer is an error.
+token. Documents are tokenised once, and their chunks written to the shared folder; everything after reads these,
+so a recomputed task meets the same chunks whatever the batch boundaries were. Chunks send their distinct
+n-gram hashes (64 bits), as compressed sorted arrays, to hash buckets; buckets add them up over the corpus and return
+to each chunk just the counts it asked for. No task or driver holds a whole vocabulary: a bucket has about
+``BUCKET_BYTES`` of text behind it. The rows sent are at most chunks times buckets, and never more than the chunks'
+distinct n-grams. A chunk is named by its content; a missing answer is an error.
 
 Null and empty texts are one end token. Without training tokens every score is 0. A null doc_id counts as the
 empty text in folds; repeated rows are scored each; an empty table gives an empty result; extra columns are ignored.
@@ -108,24 +110,35 @@ TOLD = "chunk long, bucket int, deleted boolean, words binary, word_lost binary,
 DOCS = "chunk long, deleted boolean, ids array<long>, folds binary, offsets binary, numbers binary, hashes binary"
 
 
-def asks(source: DataFrame, buckets: int) -> DataFrame:
+def chunk_of_row(r: dict) -> Chunk:
+    """A chunk from its row of DOCS."""
+    offsets = np.r_[0, np.cumsum(expand(r["offsets"], np.int64))]
+    return Chunk(r["chunk"], r["ids"], expand(r["folds"], np.uint8).astype(np.int64), offsets, expand(r["numbers"], np.uint32).astype(np.int64), expand(r["hashes"], np.uint64))
+
+
+def asks(rows: DataFrame, buckets: int) -> DataFrame:
     """A row for each chunk and bucket: distinct n-grams with their counts in training documents."""
 
+    def questions(c: Chunk, deleted: bool) -> pa.RecordBatch:
+        learnt = np.repeat(c.folds != 0, np.diff(c.offsets))
+        columns = []
+        for keys in (c.hashes[c.tokens], c.bigrams()):
+            kind, inverse = np.unique(keys, return_inverse=True)
+            columns.append((kind, np.bincount(inverse, learnt, len(kind)).astype(np.uint32), np.searchsorted(bucket_of(kind, buckets), np.arange(buckets + 1))))
+        met = np.flatnonzero(np.add(*[np.diff(cut) for _, _, cut in columns]))
+        out = []
+        for k in met.tolist():
+            parts = [(kind[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]) for kind, n, cut in columns]
+            out.append((k, c.name, deleted, *[f for kind, n in parts for f in (squeeze_sorted(kind), squeeze(n))]))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=ASK.replace(",", "").split()[::2])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for deleted, c in chunks(batches):
-            learnt = np.repeat(c.folds != 0, np.diff(c.offsets))
-            columns = []
-            for keys in (c.hashes[c.tokens], c.bigrams()):
-                kind, inverse = np.unique(keys, return_inverse=True)
-                columns.append((kind, np.bincount(inverse, learnt, len(kind)).astype(np.uint32), np.searchsorted(bucket_of(kind, buckets), np.arange(buckets + 1))))
-            rows = []
-            for k in range(buckets):
-                parts = [(kind[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]) for kind, n, cut in columns]
-                if len(parts[0][0]) or len(parts[1][0]):
-                    rows.append((k, c.name, deleted, *[f for kind, n in parts for f in (squeeze_sorted(kind), squeeze(n))]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=ASK.replace(",", "").split()[::2])
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                yield questions(chunk_of_row(r), r["deleted"])
 
-    return source.mapInArrow(run, ASK)
+    return rows.mapInArrow(run, ASK)
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -186,7 +199,7 @@ def counted(docs: pa.Table, told: pa.Table) -> Iterator[Counted]:
 
     words, words_lost, pairs, pairs_lost = (joined(n) for n in ("words", "word_lost", "pairs", "pair_lost"))
     for r in docs.to_pylist():
-        c = Chunk(r["chunk"], r["ids"], expand(r["folds"], np.uint8).astype(np.int64), np.r_[0, np.cumsum(expand(r["offsets"], np.int64))], expand(r["numbers"], np.uint32).astype(np.int64), expand(r["hashes"], np.uint64))
+        c = chunk_of_row(r)
         kind, back = np.unique(c.hashes, return_inverse=True)
         used = np.zeros(len(kind), bool)
         used[back[c.tokens]] = True
@@ -194,7 +207,7 @@ def counted(docs: pa.Table, told: pa.Table) -> Iterator[Counted]:
         number = place[back]
         pair, pair_at = np.unique(c.bigrams(), return_inverse=True)
         if used.sum() != len(words) or len(pair) != len(pairs):
-            raise ValueError("a chunk's counts are missing: its rows changed between two readings")
+            raise ValueError("a chunk's counts are missing")
         none = np.zeros(0)
         lost = len(words_lost) > 0
         at, before = number[c.tokens], number[c.contexts()]
@@ -238,9 +251,9 @@ def score(docs: DataFrame) -> DataFrame:
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = K.stored(asks(source, buckets).repartition(max(partitions, min(buckets, 1 << 15)), "bucket").groupBy("bucket").applyInArrow(answer, TOLD))
+    rows = K.stored(document_rows(source))
+    told = K.stored(asks(rows, buckets).repartition(max(partitions, min(buckets, 1 << 15)), "bucket").groupBy("bucket").applyInArrow(answer, TOLD))
     kinds, tokens, kinds_left, tokens_left = (int(x or 0) for x in told.agg(*[F.sum(c) for c in ("kinds", "tokens", "kinds_left", "tokens_left")]).first())
-    rows = document_rows(source)
     p0 = 1.0 / (kinds + 1)
 
     def tally(key, docs: pa.Table, told: pa.Table) -> pa.Table:
