@@ -154,6 +154,22 @@ def test_trie_counts_equal_plain_dynamic_programming():
         assert best[-1][1] == n
 
 
+def test_long_words_are_scored_like_short_ones_and_in_time():
+    import time
+
+    pieces = trie_counts.Pieces(trie_counts.vocabulary())
+    rng = np.random.default_rng(6)
+    words = [b"".join(rng.choice([b"ing", b"the", "é".encode(), b"\xff", b"x", b"token", b"\n\n", b"1"], n).tolist()) for n in (1, 40, 90, 300)]
+    got, score = trie_counts.forward(pa.array(words, pa.large_binary()), pieces)
+    for block in (7, 1 << 16):
+        trie_counts.STARTS = block
+        assert [trie_counts.forward_long(w, pieces) for w in words] == list(zip(got.tolist(), score.tolist(), strict=True))
+    start = time.monotonic()
+    long = "".join(rng.choice(list("abcdefghij"), 1 << 20))
+    n = trie_counts.counts_of(pa.array([long, *[f"w{i}" for i in range(20000)]], pa.large_string()), pieces, {})
+    assert 1 << 17 < n[0] <= 1 << 20 and time.monotonic() - start < 30
+
+
 def test_decontamination_finds_near_passages(spark):
     item = [f"w{i}" for i in range(40)]
     changed = [*item[:20], "other", *item[21:]]
@@ -169,8 +185,66 @@ def test_language_model_base_and_model(spark, docs):
     c = Counter(w for i, t in toks.items() if folds[i] for w in t)
     n, v = sum(c.values()), len(c)
     want = sorted((len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for t in toks.values())
-    got = sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in lm_interpolated.score(docs).collect())
-    assert got == want
+    rows = lm_interpolated.score(docs).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == want
+    assert sorted(round(r["score"], 6) for r in rows) == sorted(round(s, 6) for s in plain_scores(list(toks.values()), list(folds.values())))
+
+
+def plain_scores(texts, folds):
+    """log10 probabilities by the same estimates from dictionaries; only the weights' expectation-maximisation is shared."""
+
+    def counts(of):
+        words, pairs = Counter(), Counter()
+        for t, f in zip(texts, folds, strict=True):
+            if of(f):
+                words.update(t)
+                pairs.update(zip([" ", *t], t, strict=False))
+        return words, pairs
+
+    words, pairs = counts(lambda f: f)
+    left, left_pairs = counts(lambda f: f > 1)
+    p0, level = 1 / (len(words) + 1), lambda n: 0 if n == 0 else n.bit_length()
+    seen = Counter()
+    for t, f in zip(texts, folds, strict=True):
+        if f == 1:
+            for a, b in zip([" ", *t], t, strict=False):
+                p2, p1 = left_pairs[a, b] / max(left[a], 1), left[b] / max(sum(left.values()), 1)
+                seen[level(left[a]), *[-1 if not p else round(4 * math.log2(p / p0)) + 1024 for p in (p2, p1)]] += 1
+    weights = lm_interpolated.learn_weights([(*k, n) for k, n in sorted(seen.items())])
+    out = []
+    for t in texts:
+        total = 0.0
+        for a, b in zip([" ", *t], t, strict=False):
+            w = weights[level(words[a])]
+            total += math.log10(w[0] * pairs[a, b] / max(words[a], 1) + w[1] * words[b] / sum(words.values()) + w[2] * p0)
+        out.append(total)
+    return out
+
+
+def test_model_scores_of_given_texts_whatever_the_batches(spark):
+    d = textkit.read(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    folds = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 for i, _ in rows]
+    assert 1 in folds and 0 in folds
+    want = plain_scores([[*low(t), " "] for _, t in rows], folds)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        got = lm_interpolated.score(d)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        got = {r["doc_id"]: r["score"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.allclose([got[i] for i, _ in rows], want, rtol=1e-9)
+
+
+def test_mixture_weights_are_the_likeliest():
+    rows = [(3, 1024 + 20, 1024 + 6, 50), (3, -1, 1024 + 8, 30), (3, -1, -1, 9), (3, 1024 + 12, 1024 - 4, 20)]
+    p = np.array([[2 ** ((x - 1024) / 4) if x >= 0 else 0 for x in r[1:3]] + [1] for r in rows])
+    n = np.array([r[3] for r in rows])
+    fit = lambda w: float(n @ np.log(p @ np.array(w)))
+    grid = max(fit((a / 50, b / 50, (50 - a - b) / 50)) for a in range(50) for b in range(50 - a))
+    assert fit(lm_interpolated.learn_weights(rows)[3]) >= grid - 1e-6
 
 
 def test_quality_statistics():
