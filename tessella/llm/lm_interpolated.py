@@ -33,6 +33,9 @@ from . import textkit as K
 
 CHUNK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
 END = K.hash_text([" "])[0]  # no word has a space
+#: Tokens scored at once; bytes of a row group of stored chunks, so that a reader holds one or two of them.
+BLOCK_TOKENS, GROUP_BYTES = 1 << 18, 4 << 20
+ROW_GROUPS = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4, "parquet.enable.dictionary": False, "compression": "none"}
 BINS, LEVELS = 4, 40  # bins of a factor of two; buckets of context counts
 
 
@@ -178,17 +181,27 @@ def document_rows(source: DataFrame) -> DataFrame:
 
 
 class Counted(NamedTuple):
+    """A chunk and the places of its tokens, contexts and bigrams in the counts of its distinct n-grams."""
+
     chunk: Chunk
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-    word_lost: np.ndarray
-    context_lost: np.ndarray
-    pair_lost: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    pair_at: np.ndarray
+    words: np.ndarray
+    words_lost: np.ndarray
+    pairs: np.ndarray
+    pairs_lost: np.ndarray
+
+    def blocks(self, lost: bool = False) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Counts of each token, its context and its bigram, a block of tokens at a time; with ``lost``, less what the deleted documents hold."""
+        words, pairs = (self.words - self.words_lost, self.pairs - self.pairs_lost) if lost else (self.words, self.pairs)
+        for a in range(0, len(self.at), BLOCK_TOKENS):
+            cut = slice(a, a + BLOCK_TOKENS)
+            yield cut, words[self.at[cut]], words[self.before[cut]], pairs[self.pair_at[cut]]
 
 
 def counted(docs: pa.Table, told: pa.Table) -> Iterator[Counted]:
-    """The counts of every token, its context and its bigram, in the corpus and in the deleted documents."""
+    """The counts that a chunk asked for, in the corpus and in the deleted documents."""
     order = np.argsort(told["bucket"].to_numpy(), kind="stable")
     buckets = told["bucket"].to_numpy()[order]
     order = order[np.r_[True, buckets[1:] != buckets[:-1]]] if len(order) else order  # equal chunks get equal answers
@@ -198,20 +211,16 @@ def counted(docs: pa.Table, told: pa.Table) -> Iterator[Counted]:
         return np.concatenate([expand(p, np.uint64) for p in parts if p] or [np.zeros(0, np.uint64)]).astype(np.float64)
 
     words, words_lost, pairs, pairs_lost = (joined(n) for n in ("words", "word_lost", "pairs", "pair_lost"))
-    for r in docs.to_pylist():
-        c = chunk_of_row(r)
+    for i in range(docs.num_rows):
+        c = chunk_of_row(docs.slice(i, 1).to_pylist()[0])
         kind, back = np.unique(c.hashes, return_inverse=True)
         used = np.zeros(len(kind), bool)
         used[back[c.tokens]] = True
-        place = np.cumsum(used) - 1
-        number = place[back]
+        number = (np.cumsum(used) - 1)[back]
         pair, pair_at = np.unique(c.bigrams(), return_inverse=True)
         if used.sum() != len(words) or len(pair) != len(pairs):
             raise ValueError("a chunk's counts are missing")
-        none = np.zeros(0)
-        lost = len(words_lost) > 0
-        at, before = number[c.tokens], number[c.contexts()]
-        yield Counted(c, words[at], words[before], pairs[pair_at], words_lost[at] if lost else none, words_lost[before] if lost else none, pairs_lost[pair_at] if lost else none)
+        yield Counted(c, number[c.tokens], number[c.contexts()], pair_at, words, words_lost, pairs, pairs_lost)
 
 
 def level_of(context: np.ndarray) -> np.ndarray:
@@ -251,18 +260,16 @@ def score(docs: DataFrame) -> DataFrame:
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = K.stored(document_rows(source))
-    told = K.stored(asks(rows, buckets).repartition(max(partitions, min(buckets, 1 << 15)), "bucket").groupBy("bucket").applyInArrow(answer, TOLD))
+    rows = K.stored(document_rows(source), **ROW_GROUPS)
+    told = K.stored(asks(rows, buckets).repartition(max(partitions, min(buckets, 1 << 15)), "bucket").groupBy("bucket").applyInArrow(answer, TOLD), **ROW_GROUPS)
     kinds, tokens, kinds_left, tokens_left = (int(x or 0) for x in told.agg(*[F.sum(c) for c in ("kinds", "tokens", "kinds_left", "tokens_left")]).first())
     p0 = 1.0 / (kinds + 1)
 
     def tally(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         parts = []
         for c in counted(docs, told):
-            context = c.context - c.context_lost
-            p2 = (c.pair - c.pair_lost) / np.maximum(context, 1)
-            p1 = (c.word - c.word_lost) / max(tokens_left, 1)
-            parts.append(np.stack([level_of(context), binned(p2, p0), binned(p1, p0)], axis=1))
+            for _, word, context, pair in c.blocks(lost=True):
+                parts.append(np.stack([level_of(context), binned(pair / np.maximum(context, 1), p0), binned(word / max(tokens_left, 1), p0)], axis=1))
         kind, n = np.unique(np.concatenate(parts), axis=0, return_counts=True) if parts else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
         return pa.table({"level": kind[:, 0], "b2": kind[:, 1], "b1": kind[:, 2], "n": n})
 
@@ -271,11 +278,15 @@ def score(docs: DataFrame) -> DataFrame:
     def total(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for c in counted(docs, told):
-            p = shared.value[level_of(c.context)]
-            p = p[:, 0] * c.pair / np.maximum(c.context, 1) + p[:, 1] * c.word / max(tokens, 1) + p[:, 2] * p0
-            base = np.log10((c.word + 0.1) / (tokens + 0.1 * (kinds + 1)))
+            known, base, model = np.zeros(len(c.at), bool), np.zeros(len(c.at)), np.zeros(len(c.at))
+            for cut, word, context, pair in c.blocks():
+                w = shared.value[level_of(context)]
+                known[cut] = word > 0
+                base[cut] = np.log10((word + 0.1) / (tokens + 0.1 * (kinds + 1)))
+                model[cut] = np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] * p0) if tokens else 0
             o = c.chunk.offsets
-            out.append(pa.table([pa.array(c.chunk.ids, pa.int64()), pa.array(c.chunk.folds == 0), pa.array(np.diff(o)), pa.array(K.row_sums((c.word > 0).astype(np.int64), o)), pa.array([tokens] * len(c.chunk.ids), pa.int64()), pa.array(K.row_sums(base, o)), pa.array(K.row_sums(np.log10(p), o) if tokens else np.zeros(len(o) - 1))], names=names))
+            columns = [pa.array(c.chunk.ids, pa.int64()), pa.array(c.chunk.folds == 0), pa.array(np.diff(o)), pa.array(K.row_sums(known.astype(np.int64), o)), pa.array([tokens] * len(c.chunk.ids), pa.int64()), pa.array(K.row_sums(base, o)), pa.array(K.row_sums(model, o))]
+            out.append(pa.table(columns, names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=names)
 
     held = rows.where("deleted").groupBy("chunk").cogroup(told.where("deleted").select("chunk", "bucket", "words", "word_lost", "pairs", "pair_lost").groupBy("chunk"))

@@ -227,10 +227,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, **options: object) -> DataFrame:
+    """Write to the shared folder, with Parquet's ``options``, and read again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
