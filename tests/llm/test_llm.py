@@ -255,7 +255,7 @@ def test_quality_statistics():
 
 def test_cascade_order_comes_from_all_parts(spark):
     """Rejections of one rule lie in the last rows only; the order finds them and no order changes a verdict."""
-    rows = [(i, f"{i} plain words of a text that every rule of the cascade keeps as it is") for i in range(3000)] + [(3000 + i, "what ! ! ! ! ! ! ! ! ! ! now") for i in range(1500)]
+    rows = [(i, f"{i} plain words of a text that every rule of the cascade keeps as it is") for i in range(3000)] + [(3000 + i, "wonderful! surprising! shouting! sentences! everywhere! now!") for i in range(1500)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id")
     rules = tuple(r for r in quality_cascade.RULES if r.name in ("shouting", "symbols", "word_length"))
     ordered = quality_cascade.plan_cascade(d, rules)
