@@ -27,6 +27,8 @@ from . import textkit as K
 from .tokens import Encoder
 
 WINDOW, SHARD_DOCS, K1, B = 1024, 1024, 1.2, 0.75
+#: Bytes of text whose ids and terms a worker holds at once.
+FEATURE_BYTES = 3 << 20
 #: Terms in more documents of a shard than this have their postings held as a dense row.
 DENSE = 24
 FEATURES = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, near bigint, far bigint, terms binary, counts binary"
@@ -38,7 +40,7 @@ def features(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_
     source = docs.select(F.col("doc_id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in K.slices(batches):
+        for b in K.slices(batches, limit=FEATURE_BYTES):
             ids, offsets = encoder.value.encode(b.column("text"))
             raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             crcs = [[K.crc(raw[4 * a : 4 * min(a + window, hi)]) for a in range(lo, hi, window)] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
