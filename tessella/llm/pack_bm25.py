@@ -29,6 +29,8 @@ from .tokens import Encoder
 WINDOW, SHARD_DOCS, K1, B = 1024, 1024, 1.2, 0.75
 #: Bytes of text whose ids and terms a worker holds at once.
 FEATURE_BYTES = 3 << 20
+#: Postings of rare terms whose scores are added at once.
+POSTINGS = 1 << 15
 #: Terms in more documents of a shard than this have their postings held as a dense row.
 DENSE = 24
 FEATURES = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, near bigint, far bigint, terms binary, counts binary"
@@ -92,10 +94,13 @@ def bm25(terms: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     if len(term):
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
         many = np.diff(np.r_[first, len(term)])
-        each = np.repeat(many, many)
-        query = np.repeat(doc, each)
-        at = np.repeat(np.repeat(first, many), each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        scores += np.bincount(query * n + doc[at], weight[at], n * n).astype(np.float32).reshape(n, n)
+        first, many = np.repeat(first, many), np.repeat(many, many)
+        total = np.zeros(n * n)
+        for lo in range(0, len(term), POSTINGS):  # a posting meets at most DENSE others
+            each, start = many[lo : lo + POSTINGS], first[lo : lo + POSTINGS]
+            at = np.repeat(start - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            total += np.bincount(np.repeat(doc[lo : lo + POSTINGS], each) * n + doc[at], weight[at], n * n)
+        scores += total.astype(np.float32).reshape(n, n)
     return scores
 
 
