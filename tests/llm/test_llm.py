@@ -95,6 +95,23 @@ def test_best_fit_takes_the_least_room():
     assert sorted(map(sorted, pack_bfd.best_fit_decreasing([6, 5, 5, 4], 10))) == [[0, 3], [1, 2]]
 
 
+@pytest.mark.parametrize("n", [1, 30, 120])
+def test_bm25_scores_are_those_of_the_formula(n, monkeypatch):
+    monkeypatch.setattr(pack_bm25, "POSTINGS", 97)
+    rng = np.random.default_rng(1)
+    terms = [np.unique(np.r_[rng.integers(0, 8, 4), rng.zipf(1.3, 80) % 5000]).astype("<u4") for _ in range(n)]
+    counts = [rng.integers(1, 5, len(t)).astype("<u4") for t in terms]
+    got = pack_bm25.bm25(terms, counts)
+    df = Counter(x for t in terms for x in t.tolist())
+    tf = [dict(zip(t.tolist(), c.tolist(), strict=True)) for t, c in zip(terms, counts, strict=True)]
+    mean = np.mean([sum(d.values()) for d in tf])
+    for i in range(n):
+        for j in range(n):
+            if i != j:
+                want = sum(math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(tf[j].values()) / mean)) for x, f in tf[j].items() if x in tf[i])
+                assert abs(want - got[i, j]) < 1e-4
+
+
 def test_simhash_links_are_complete():
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
