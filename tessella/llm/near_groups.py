@@ -192,7 +192,7 @@ def exact_links(placed: DataFrame) -> DataFrame:
                 cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
                 if cut:
                     yield out(table.slice(0, cut))
-                    held = [pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(cut, len(table)))).combine_chunks() for c in table.columns], names=table.column_names)]
+                    held = [pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(cut, len(table)))).combine_chunks() for c in table.columns], schema=table.schema)]
                     size = held[0].num_rows + held[0].nbytes
         if held and sum(b.num_rows for b in held):
             yield out(pa.Table.from_batches(held))

@@ -73,3 +73,18 @@ def test_decontamination_judges_rows_and_items_without_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.clean(docs, items).collect()) == [(0, clean), (1, clean), (3, "")]
     assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in decontaminate.find(docs, items).collect()) == [(0, 7), (1, 7), (2, 0)]
     assert decontaminate.clean(docs, items, 1).count() == 3
+
+
+def test_one_task_decides_more_than_it_holds_at_once(spark):
+    """700 pairs of near copies, 11 MB in one task: neighbourhoods that are carried over to the next batch keep their links."""
+    rows = []
+    for k in range(700):
+        words = [f"d{k}w{i}" for i in range(900)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:880], *[f"d{k}n{i}" for i in range(20)]]))]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        kept = {r["doc_id"] for r in near_groups.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert kept == set(range(0, 1400, 2))
