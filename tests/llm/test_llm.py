@@ -78,6 +78,27 @@ def test_ids_are_the_tokenizers():
         assert ids[o[i] : o[i + 1]].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_units_of_a_batch_take_few_calls(monkeypatch):
+    encoder = tokens.Encoder()
+    whole, calls = encoder.bpe.encode_ordinary, []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return whole(text)
+
+    encoder.bpe = Counted()
+    spaces = (" ", "\n", " \t ", "\r\n\r\n")
+    texts = ["".join(f"{spaces[i % 4]}w{i}x{i * 7919 % 9973}é's" for i in range(3000)), "first ends blank \n ", " \n\n ", "\u3000odd  space\u00a0 ", " and\u2003 odd", "", None, "漢字 'll 've  A1b2"]
+    want = [[*whole(t or ""), 0] for t in texts]
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(tokens, "CALL_BYTES", size, raising=False)
+        calls.clear()
+        ids, o = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(o[:-1], o[1:], strict=True)] == want
+        assert len(calls) < (20 if size > 50 else 2000)
+
+
 @pytest.mark.parametrize("make", [lambda d: pack_bfd.pieces(pack_bfd.pack(d)), pack_bm25.retrieval_pack])
 def test_packing_round_trip(docs, make):
     ids, o = tokens.Encoder().encode(pa.array(TEXTS))
