@@ -97,12 +97,8 @@ def timing(spark, sf):
 @query("q_overlap_merge")
 def overlap_merge(spark, sf):
     """Six overlapping parts of each video, merged again: the number of characters of the whole."""
-    c = V.chars(spark, sf)
-    part = F.explode(F.sequence(F.lit(0), F.lit(5)))
-    item = F.struct("start", "pos", "char", "end")
-    parts = c.withColumn("part", part).where((F.col("start") >= F.col("part") * 120 - 2) & (F.col("start") < F.col("part") * 120 + 120)).groupBy("vid", "part").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    whole = parts.groupBy("vid").agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "items"))), lambda p: p["items"]).alias("parts"))
-    return whole.select("vid", F.size(sequences.merge_parts(F.col("parts"))).alias("n"))
+    parts = V.chars(spark, sf).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(5)))).where((F.col("start") >= F.col("part") * 120 - 2) & (F.col("start") < F.col("part") * 120 + 120))
+    return sequences.merge_parts(parts, "vid", "part").groupBy("vid").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("q_srt", "SELECT conv_id, turn, round(CASE WHEN nxt IS NOT NULL AND long > nxt THEN greatest(s + 0.1, nxt - 0.01) ELSE long END, 6) AS new_end, printf('%02d:%02d:%02d,%03d', CAST(ms // 3600000 AS BIGINT), CAST(ms // 60000 % 60 AS BIGINT), CAST(ms // 1000 % 60 AS BIGINT), CAST(ms % 1000 AS BIGINT)) AS stamp FROM (SELECT *, greatest(e, s + 0.5) AS long, lead(s) OVER (PARTITION BY conv_id ORDER BY s, turn) AS nxt, CAST(round_even(s * 1000, 0) AS BIGINT) AS ms FROM (SELECT conv_id, turn, turn * 2.37::DOUBLE AS s, turn * 2.37::DOUBLE + length(text) / 100.0::DOUBLE AS e FROM conversations))")

@@ -121,3 +121,46 @@ def test_bins_of_odd_lengths():
     bins, last, room = sequences.fill_bins(np.array([np.nan, np.inf, 7.0, 5.0, 0.0, -1.0, 0.0]), 6.0)
     assert bins.tolist() == [0, 1, 2, 3, 3, 4, 4] and last == 4 and room > 0
     assert sequences.bin_sizes(np.array([0.1, 0.3]), 0.3).tolist() == [3, 2]
+
+
+def brute_merge(parts):
+    """Items of (start, pos, char, end) merged by trying every prefix at every place."""
+    text = list(parts[0])
+    for p in parts[1:]:
+        end, n = text[-1][3], 0
+        if end is not None and p[0][0] < end + 5:
+            a, b = [x[2] for x in text], [x[2] for x in p]
+            most = sum(x[0] < end + 2 for x in p)
+            n = next((k for k in range(min(most, len(a)), 0, -1) for s in range(max(len(a) - k - 10, 0), len(a) - k + 1) if a[s : s + k] == b[:k]), 0)
+        text += p[n:]
+    return text
+
+
+def test_merged_parts_are_those_of_all_prefixes(spark):
+    rng, items, want = np.random.default_rng(3), [], {}
+    for key in range(60):
+        said, parts, pos = "".join(rng.choice(list("ab" if key % 2 else "abcde"), 90)), [], 0
+        for part in range(4):
+            first = part * 25 - int(rng.integers(0, 12)) if part else 0
+            last = first + int(rng.integers(1, 40))
+            parts.append([(i + 0.25 * float(rng.integers(0, 2)), (pos := pos + 1), None if said[i] == "a" and key % 3 == 0 else said[i], None if key == 7 else i + float(rng.integers(0, 9))) for i in range(max(first, 0), last) if i < 90])
+        if key == 5:
+            parts[1] = parts[0][-3:]
+        parts = [p for p in parts if p]
+        want[key] = sorted((x[1], x[0]) for x in brute_merge([sorted(p) for p in parts]))
+        items += [(key, i, *x) for i, p in enumerate(parts) for x in p]
+    df = spark.createDataFrame(items, "vid int, part int, start double, pos long, char string, end double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sequences.merge_parts(df, "vid", "part").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: sorted(zip(t["pos"], t["start"], strict=True)) for k, t in got.groupby("vid")} == want
+    assert len(got) < len(items)
+
+
+def test_overlap_of_a_long_repeat():
+    n = 100_000
+    assert sequences.overlap_count(np.arange(n), np.arange(n // 2, n)) == n // 2
+    assert sequences.overlap_count(np.zeros(n), np.zeros(n)) == n
+    assert sequences.overlap_count(np.arange(n), np.arange(n // 2, n - 11)) == 0
