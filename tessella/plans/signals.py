@@ -150,15 +150,12 @@ MIRS_SQL = ", ".join(f"mir{s} AS (SELECT vid, frame, filled, n FROM lin UNION AL
 
 @query("q_multiscale", f"SELECT size, {R_SQL} AS r, count(*) AS n FROM (SELECT size, m.a, m.b FROM m JOIN grid g ON g.vid = m.vid AND g.frame = m.frame WHERE NOT g.cut AND g.m_view IS NOT NULL) GROUP BY size", V.GRID_SQL, FILL_SQL, MIRS_SQL, MULTI_SQL)
 def multiscale(spark, sf):
-    lin = dsp.filled_linear(V.grid(spark, sf), "vid", "m_view").select("vid", "frame", "cut", "m_view", "filled", "n")
-    out = None
-    for size in (2, 6, 24):  # fill, filter, mask again
-        w = dsp.by_frame("vid").rowsBetween(-(size // 2), size - 1 - size // 2)
-        both = dsp.mirrored(lin, "vid", V.FRAMES, size).withColumn("a", F.avg("filled").over(w)).withColumn("b", F.avg("n").over(w))
-        s = dsp.inside(both, V.FRAMES).where(~F.col("cut") & F.col("m_view").isNotNull())
-        t = s.agg(r4(stats.pearson("a", "b")).alias("r"), F.count("*").alias("n")).select(F.lit(size).alias("size"), "r", "n")
-        out = t if out is None else out.union(t)
-    return out
+    sizes = (2, 6, 24)  # fill, filter, mask again
+    both = dsp.mirrored(dsp.filled_linear(V.grid(spark, sf), "vid", "m_view").select("vid", "frame", "cut", "m_view", "filled", "n"), "vid", V.FRAMES, max(sizes))
+    at = [dsp.by_frame("vid").rowsBetween(-(size // 2), size - 1 - size // 2) for size in sizes]
+    scales = both.select("frame", "cut", "m_view", F.array(*[F.struct(F.lit(size).alias("size"), F.avg("filled").over(w).alias("a"), F.avg("n").over(w).alias("b")) for size, w in zip(sizes, at, strict=True)]).alias("s"))
+    ok = dsp.inside(scales, V.FRAMES).where(~F.col("cut") & F.col("m_view").isNotNull()).select(F.inline("s"))
+    return ok.groupBy("size").agg(r4(stats.pearson("a", "b")).alias("r"), F.count("*").alias("n"))
 
 
 @query("q_envelope_z", "SELECT vid, frame, CASE WHEN v IS NOT NULL THEN round((s - avg(s) OVER (PARTITION BY vid)) / stddev_pop(s) OVER (PARTITION BY vid), 4) + 0.0 END AS z FROM (SELECT vid, frame, v, avg(filled) OVER (PARTITION BY vid ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS s FROM (SELECT vid, frame, v, filled FROM lin UNION ALL SELECT vid, -1 - frame, v, filled FROM lin WHERE frame < 6 UNION ALL SELECT vid, 1439 - frame, v, filled FROM lin WHERE frame >= 714)) WHERE frame BETWEEN 0 AND 719", V.GRID_SQL, FILL_SQL)

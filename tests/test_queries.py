@@ -45,3 +45,8 @@ def test_interval_diff_keeps_what_rounds_to_zero(spark, tmp_path):
     """Two orders with a label of which the sums of durations leave less than 0.00005."""
     lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_orderkey in (33601, 42964)")
     assert any(0.0 in r for r in same_as_sql(spark, "q_interval_diff", "lineitem", lines, tmp_path))
+
+
+def test_multiscale_without_a_row_outside_cuts(spark, tmp_path):
+    events = spark.sql("SELECT id AS event_id, timestamp_seconds(1704067200 + 3600 * (id div 2)) AS ts, 0L AS user_id, if(id % 2 = 0, 'view', 'error') AS event_type, double(id) AS value, '{}' AS props FROM range(100)")
+    assert same_as_sql(spark, "q_multiscale", "events", events, tmp_path) == []
