@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def from_durations(df: DataFrame, key: str, duration: str) -> DataFrame:
-    """Adds start and end by running sums of durations in idx order."""
-    end = F.sum(duration).over(Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+def from_durations(df: DataFrame, key: str, duration: str, order: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """Adds start and end by running sums of durations in order."""
+    end = F.sum(duration).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("end", end).withColumn("start", F.col("end") - F.col(duration))
 
 

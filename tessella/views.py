@@ -9,12 +9,21 @@ from tessella.operators.grid import band_mask, dense
 
 EPOCH, FRAMES = 1704067200, 720
 TYPES = ("click", "view", "signup", "purchase", "error")
+#: Order of line items in an utterance. Windows in this very order share one sort.
+PLACE = ("l_linenumber", "l_partkey", "l_shipdate", "l_suppkey", "l_extendedprice")
+PART_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def parted(df: DataFrame, key: str) -> DataFrame:
+    """Dealt by key into parts of about a million rows, where the session's shuffle partitions would be larger."""
+    n = -(-df.count() // PART_ROWS)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def seconds(column: str):
     return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6) - F.lit(float(EPOCH))
 
@@ -48,13 +57,15 @@ def keypoints(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.expr("vec_id div 50").alias("shot"), F.col("vec_id").alias("frame"), F.explode(j).alias("j")).select("shot", "frame", "j.joint", "j.x", "j.y", (F.abs("j.x") * 4).alias("conf"))
 
 
-def tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as labels of an utterance (order): predicted and target durations."""
+def tiers(spark: SparkSession, sf: str, *also: str, even: bool = False) -> DataFrame:
+    """Line items as labels of an utterance (order): predicted and target durations; further columns as they are.
+    ``even``: in parts that do not grow with the table."""
     from pyspark.sql import Window
 
-    li = read(spark, sf, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_shipdate", "l_suppkey", "l_extendedprice")
-    return li.select(F.col("l_orderkey").alias("utt"), F.row_number().over(w).alias("idx"), F.col("l_returnflag").alias("mark"), F.col("l_quantity").alias("pred"), F.round(F.col("l_quantity") * (1 + F.col("l_discount") - 0.05), 4).alias("target"))
+    li = read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "utt")
+    li = parted(li, "utt") if even else li
+    w = Window.partitionBy("utt").orderBy(*PLACE)
+    return li.select("utt", F.row_number().over(w).alias("idx"), F.col("l_returnflag").alias("mark"), F.col("l_quantity").alias("pred"), F.round(F.col("l_quantity") * (1 + F.col("l_discount") - 0.05), 4).alias("target"), *also)
 
 
 GRID_SQL = """

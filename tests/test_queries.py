@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tessella import views
 from tessella.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,14 @@ def test_interval_diff_keeps_what_rounds_to_zero(spark, tmp_path):
 def test_multiscale_without_a_row_outside_cuts(spark, tmp_path):
     events = spark.sql("SELECT id AS event_id, timestamp_seconds(1704067200 + 3600 * (id div 2)) AS ts, 0L AS user_id, if(id % 2 = 0, 'view', 'error') AS event_type, double(id) AS value, '{}' AS props FROM range(100)")
     assert same_as_sql(spark, "q_multiscale", "events", events, tmp_path) == []
+
+
+@pytest.mark.parametrize("name", ["q_sp_insert", "q_gap_repair", "q_tier_convert"])
+def test_labels_are_sorted_once_in_parts_by_rows(spark, duck, monkeypatch, name):
+    """A task's memory is its sort of a part: one sort, and parts that hold no more rows when the table grows."""
+    monkeypatch.setattr(views, "PART_ROWS", 200)
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Scan parquet") == plan.count("REPARTITION_BY_NUM") == 1
+    assert df.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 200)
+    assert rows(df.toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
